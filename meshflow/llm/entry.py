@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dimension_scan, language_mixture, piece_viterbi, token_counts, toxic_crf, url_filter
+from . import decontaminate, dimension_scan, language_mixture, piece_viterbi, run_index, token_counts, toxic_crf, url_filter
 
 QUERIES = {
     "op1_language_mixture": language_mixture.op1_language_mixture,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_run_index": run_index.op3_run_index,
     "op4_toxic_crf": toxic_crf.op4_toxic_crf,
     "op5_dimension_scan": dimension_scan.op5_dimension_scan,
     "op6_token_counts": token_counts.op6_token_counts,
