@@ -29,7 +29,7 @@ from .slabs import mix, slabs
 
 GRAM = 4
 CELLS = 1 << 16
-ROUNDS = 12
+ROUNDS = 8
 #: Largest number of distinct languages for which the model is sent to the tasks (CELLS floats each).
 MAX_LANGUAGES = 512
 _SLAB = 1 << 20
@@ -102,44 +102,51 @@ def mixtures(model: LanguageModel, cell: np.ndarray, row: np.ndarray, n_rows: in
     key, weight = np.unique(row * len(model.log_likelihood) + cell, return_counts=True)
     row, cell = key // len(model.log_likelihood), key % len(model.log_likelihood)
     rows, first = np.unique(row, return_index=True)
-    log_p = model.log_likelihood[cell]
-    top = log_p.max(1)
-    p = np.exp(log_p - top[:, None])
+    log_p = model.log_likelihood.T[:, cell]  # languages x n-grams
+    top = log_p.max(0)
+    p = np.exp(log_p - top)
     at = np.searchsorted(rows, row)
     weight = weight.astype(np.float32)
     total = np.add.reduceat(weight, first)
     base = np.add.reduceat(weight * top, first)
 
-    def fit(live: np.ndarray, p, weight, at, first, total, base):
-        """EM over the rows' live languages: proportions and log likelihood."""
-        share = live / live.sum(1, keepdims=True)
-        for _ in range(rounds):
-            mass = p * share[at]
-            mass *= (weight / np.maximum(mass.sum(1), 1e-30))[:, None]
-            share = np.add.reduceat(mass, first) / total[:, None]
-        mean = (p * share[at]).sum(1)
-        return share, np.add.reduceat(weight * np.log(np.maximum(mean, 1e-30)), first) + base
-
-    live = np.ones((len(rows), k), np.float32)
-    share, ll = fit(live, p, weight, at, first, total, base)
+    def fit(live, p, weight, at, first, total, base):
+        """EM over the live languages (languages x rows): proportions, log likelihood, and by how much it may still rise."""
+        share = live / live.sum(0)
+        for turn in range(rounds + 1):
+            spread = share[:, at]
+            spread *= p
+            mean = np.maximum(spread.sum(0), 1e-30)
+            if turn == rounds:
+                gain = np.add.reduceat(p * (weight / mean), first, axis=1) / total
+                return share, np.add.reduceat(weight * np.log(mean), first) + base, total * np.log(np.maximum((gain * live).max(0), 1))
+            spread *= weight / mean
+            share = np.add.reduceat(spread, first, axis=1) / total
+
+    live = np.ones((k, len(rows)), np.float32)
+    share, ll, slack = fit(live, p, weight, at, first, total, base)
     penalty = 0.5 * np.log(total + 1)
-    going = np.arange(len(rows))
+    alone = np.add.reduceat(weight * log_p, first, axis=1)
+    # no set can beat the best single language where even the best mixture gains less than one penalty
+    settled = (ll + slack - alone.max(0) <= penalty) | (k == 1)
+    share[:, settled] = np.arange(k)[:, None] == alone[:, settled].argmax(0)
+    going = np.flatnonzero(~settled)
     for _ in range(k - 1):
+        if not len(going):
+            break
         # which of the rows still get better by dropping their least language
-        fewer = live[going].copy()
-        masked = np.where(fewer > 0, share[going], np.inf)
-        fewer[np.arange(len(going)), k - 1 - masked[:, ::-1].argmin(1)] = 0
-        pick = np.isin(at, going)
+        fewer = live[:, going].copy()
+        masked = np.where(fewer > 0, share[:, going], np.inf)
+        fewer[k - 1 - masked[::-1].argmin(0), np.arange(len(going))] = 0
+        pick = np.flatnonzero(np.isin(at, going))
         back = np.searchsorted(going, at[pick])
         start = np.concatenate([[0], np.flatnonzero(np.diff(back)) + 1])
-        new_share, new_ll = fit(fewer, p[pick], weight[pick], back, start, total[going], base[going])
+        new_share, new_ll, _ = fit(fewer, p[:, pick], weight[pick], back, start, total[going], base[going])
         better = new_ll + penalty[going] >= ll[going]
         moved = going[better]
-        live[moved], share[moved], ll[moved] = fewer[better], new_share[better], new_ll[better]
-        going = moved[live[moved].sum(1) > 1]
-        if not len(going):
-            break
-    out[rows] = share
+        live[:, moved], share[:, moved], ll[moved] = fewer[:, better], new_share[:, better], new_ll[better]
+        going = moved[live[:, moved].sum(0) > 1]
+    out[rows] = share.T
     return out
 
 
