@@ -6,10 +6,10 @@ id. All such strings are found, and none else:
 1. Every WINDOW-byte string has an anchor, its GRAM-byte substring with the smallest hash, which is the
    same wherever the string stands. Blocks of documents send the hashes of their anchors to buckets
    (four bytes each), which tell each block those that occur in two documents or more.
-2. Around each such anchor a document has a segment, which holds all strings with that anchor. A block
+2. Around each such anchor a document has a segment, the neighbouring strings with that anchor. A block
    sends each distinct segment once, with the smallest id that has it, to the shard of its anchor.
    Anchors that more than HOT_BLOCKS blocks share are refined: a string reaches 15 bytes beyond the
-   anchor on one side at least, so the segment goes to the shards of both longer strings.
+   anchor to the left, or else to the right, and goes to the shard of the anchor with those bytes.
 3. A shard builds a run-compressed Burrows-Wheeler transform of its segments, with samples at run ends,
    and streams each segment through it backwards. The rows that it meets give the matches of WINDOW
    bytes or more, and the smallest id among a match's holders is sent back to the blocks.
@@ -45,13 +45,14 @@ _SIDE = (WINDOW - GRAM) // 2
 _LAST_ID = np.iinfo(np.int64).max
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position, row and 64-bit hash of each anchor of some WINDOW-byte string within a row."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the WINDOW-byte strings within rows: position, row, 64-bit hash, and the first and last
+    start of the neighbouring strings that have it. Each string belongs to one anchor."""
     none = np.zeros(0, np.int64)
     span = WINDOW - GRAM + 1
     n = len(data) - WINDOW + 1
     if n <= 0:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none, none
     p = prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
     low = (range_hash(p, at, at + GRAM) & ~np.uint64(63)) | (at & 63).astype(np.uint64)
@@ -63,9 +64,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         low = np.minimum(low[: width - span], low[span - width :])
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     start = np.flatnonzero(np.arange(n) + WINDOW <= offsets[row + 1])
+    if not len(start):
+        return none, none, np.zeros(0, np.uint64), none, none
     found = start + (((low[start] & np.uint64(63)).astype(np.int64) - start) & 63)
-    found = np.unique(found)
-    return found, np.searchsorted(offsets, found, "right") - 1, range_hash(p, found, found + GRAM)
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    found, begin = found[first], start[first]
+    end = start[np.append(first[1:], len(start)) - 1]
+    return found, np.searchsorted(offsets, found, "right") - 1, range_hash(p, found, found + GRAM), begin, end
 
 
 class RunIndex:
@@ -75,29 +82,26 @@ class RunIndex:
     mark of its own. Bytes must be below 255, which holds for UTF-8.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
         n = len(data)
-        self.offsets = offsets
+        self.offsets, self.window = offsets, window
         size = np.diff(offsets)
         self.room = np.repeat(offsets[1:], size) - np.arange(n)  # bytes up to the end of the string
         char = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
         key = np.zeros(n, np.uint64)
-        for k in range(8):
+        for k in range(5):
             key = key << np.uint64(8) | np.where(self.room > k, char[k : k + n], np.uint64(0))
-        rank = _rank(key)
-        order, step, longest = None, 8, int(size.max(initial=0))
-        self.at_32 = rank
-        while True:
-            if step == 32:
-                self.at_32 = rank
-            if step >= longest:
-                order = np.argsort(rank, kind="stable")
-                break
-            ahead = np.zeros(n, np.int64)
+        bits = (n + 2).bit_length()
+        rank, order = _rank(key, 40, bits)
+        step, longest = 5, int(size.max(initial=0))
+        self.prefix, self.depth = rank, step  # equal ranks share `depth` bytes
+        while step < longest:
+            ahead = np.zeros(n, np.uint64)
             ahead[:-step] = np.where(self.room[:-step] > step, rank[step:] + 1, 0)
-            rank = _rank(rank * (n + 2) + ahead)
+            rank, order = _rank(rank.astype(np.uint64) << np.uint64(bits) | ahead, 2 * bits, bits)
             step *= 2
-        self.depth = min(step, 32)
+            if step <= window:
+                self.prefix, self.depth = rank, step
         head = self.room[order] == np.repeat(size, size)[order]
         before = np.where(head, 0, char[np.maximum(order, 1) - 1].astype(np.int64))
         first = np.ones(n, bool)
@@ -127,16 +131,20 @@ class RunIndex:
         run = np.searchsorted(self.run, row, "right") - 1
         return self.lf[run] + row - self.run[run]
 
-    def classes(self, window: int) -> np.ndarray:
+    def steps(self) -> np.ndarray:
+        """step() of every row."""
+        length = np.diff(np.append(self.run, self.n))
+        return np.repeat(self.lf - self.run, length) + np.arange(self.n)
+
+    def classes(self) -> np.ndarray:
         """A number for each row; rows with equal numbers are neighbours that share `window` bytes or more."""
-        if not 32 <= window <= 64:
-            raise ValueError("a window has 32 to 64 bytes")
+        window = self.window
         a, b = self.order[:-1], self.order[1:]
-        same = (self.room[a] >= window) & (self.room[b] >= window) & (self.at_32[a] == self.at_32[b])
-        if window > self.depth:
+        same = (self.room[a] >= window) & (self.room[b] >= window) & (self.prefix[a] == self.prefix[b])
+        if window > self.depth:  # the last `depth` bytes too; both together are the whole
             far = np.flatnonzero(same)
             k = window - self.depth
-            same[far] = self.at_32[a[far] + k] == self.at_32[b[far] + k]
+            same[far] = self.prefix[a[far] + k] == self.prefix[b[far] + k]
         out = np.zeros(self.n, np.int64)
         out[1:] = np.cumsum(~same)
         return out
@@ -149,29 +157,36 @@ class RunIndex:
         place = np.empty(self.n, np.int64)
         place[self.order] = np.arange(self.n)
         last = self.offsets[1:][order] - 1
+        onward = self.steps()
         row = place[last[size[order] > 0]]  # where each string's last character stands alone
         for k in range(int(size.max(initial=0))):
             live = int((size > k).sum())
             if k:
-                row = self.step(row[:live])
+                row = onward[row[:live]]
             rows[last[:live] - k] = row
         return rows
 
 
-def _rank(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+def _rank(key: np.ndarray, key_bits: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each key, and the positions by key and place. Where both fit in a word, words are sorted."""
+    if key_bits + bits <= 64:
+        word = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+        order, ordered = (word & np.uint64((1 << bits) - 1)).astype(np.int64), word >> np.uint64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
     fresh = np.zeros(len(key), np.int64)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    fresh[1:] = ordered[1:] != ordered[:-1]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(fresh)
-    return rank
+    return rank, order
 
 
 def smallest_holders(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each position the smallest id of a string that has the `window` bytes from there (max: too short)."""
-    index = RunIndex(data, offsets)
+    index = RunIndex(data, offsets, window)
     of = np.repeat(ids, np.diff(offsets))
-    cls = index.classes(window)
+    cls = index.classes()
     first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if index.n else np.zeros(0, np.int64)
     least = np.minimum.reduceat(of[index.order], first) if index.n else of
     out = least[cls[index.stream()]] if index.n else of
@@ -193,10 +208,28 @@ def _canonical(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The same type with fields that may be null, as the result's schema has them."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    return kind
+
+
 def _unpack(cells, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(c.as_py() for c in cells), dtype)
 
 
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    raw = b"".join(x.tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _swell(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
 def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with cut, also all columns as struct `row` and the kept text.
 
@@ -207,7 +240,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
     blocks = max(1, -(-total // BLOCK_BYTES))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
     bits = max(6, int(total // 16 // BUCKET_KEYS).bit_length())
-    shards = max(blocks, 1)
+    shards = 2 * blocks
     block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), F.lit(0)).cast("int")
     held = docs.withColumn("block", block).repartition(partitions, "block")
     texts = held.select("block", "doc_id", "text")
@@ -219,7 +252,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         found = []
         ids = _canonical(table)
         for part, data, offsets in _parts(ids):
-            _, row, h = anchors(data, offsets)
+            _, row, h, _, _ = anchors(data, offsets)
             found.append(np.stack([h, _ids(part.column(part.schema.get_field_index("doc_id")))[row].view(np.uint64)]))
         pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.uint64)
         pairs = pairs[:, np.lexsort(pairs[::-1])]
@@ -253,10 +286,11 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
 
     repeated = keys.groupBy("bucket").applyInArrow(repeated_keys, "block int, bucket int, keys binary, hot binary")
 
-    asked_schema = "shard int, block int, number int, least bigint, segment binary, places binary"
+    asked_schema = "shard int, block int, base int, n int, payload binary"
 
     def segments_of_block(table: pa.Table, found: pa.Table) -> pa.Table:
-        empty = pa.table({"shard": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "number": pa.array([], pa.int32()), "least": pa.array([], pa.int64()), "segment": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
+        """A row for each shard: ids, lengths and bytes of its segments; a last row with the places of all."""
+        empty = pa.table({"shard": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "base": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
         if not table.num_rows or not found.num_rows:
             return empty
         number = table.column("block")[0].as_py()
@@ -267,98 +301,102 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         known, hot = known[order], hot[order]
         if not len(known):
             return empty
-        hashes, shard_of, least, texts_out, places = [], [], [], [], []
+        hashes, shard_of, least, strings, places = [], [], [], [], []
         base = 0
         for part, data, offsets in _parts(_canonical(table)):
             ids = _ids(part.column(part.schema.get_field_index("doc_id")))
-            at, row, h = anchors(data, offsets)
+            at, row, h, begin, end = anchors(data, offsets)
             bucket, low = split_key(h)
             full = (bucket.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
             where = np.minimum(np.searchsorted(known, full), len(known) - 1)
             hit = known[where] == full
-            at, row, h, is_hot = at[hit], row[hit], h[hit], hot[where[hit]] > 0
-            lo, hi = offsets[row], offsets[row + 1]
-            start, end = np.maximum(at - (WINDOW - GRAM), lo), np.minimum(at + WINDOW, hi)
+            at, row, h, begin, end, is_hot = at[hit], row[hit], h[hit], begin[hit], end[hit], hot[where[hit]] > 0
             p = prefix_hash(data)
-            # a refined anchor goes to the shards of the longer strings to its left and right
-            left, right = is_hot & (at - lo >= _SIDE), is_hot & (hi - at - GRAM >= _SIDE)
-            sets = [(~is_hot, h, start, end)]
-            back, ahead = np.maximum(at - _SIDE, lo), np.minimum(at + GRAM + _SIDE, hi)
-            sets.append((left, range_hash(p, back, at + GRAM), start, end))
-            sets.append((right, range_hash(p, at, ahead), start, end))
             raw = data.tobytes()
+            # strings with a refined anchor reach _SIDE bytes beyond it on the left, or else on the right
+            middle = at - _SIDE
+            left, right = is_hot & (begin <= middle), is_hot & (end > middle)
+            back, ahead = np.maximum(middle, 0), np.minimum(at + GRAM + _SIDE, len(data))
+            sets = (
+                (~is_hot, h, begin, end),
+                (left, range_hash(p, back, at + GRAM), begin, np.minimum(end, middle)),
+                (right, range_hash(p, at, ahead), np.maximum(begin, middle + 1), end),
+            )
             for which, key, s, e in sets:
                 w = np.flatnonzero(which)
                 if len(w):
-                    # equal bytes in equal shards are one segment
-                    seg = mix(range_hash(p, s[w], e[w]) + mix(key[w]))
-                    _, first, back_to = np.unique(seg, return_index=True, return_inverse=True)
+                    k, s, e = key[w], s[w], e[w] + WINDOW
+                    seg = mix(range_hash(p, s, e) + mix(k))  # equal bytes in equal shards are one segment
+                    unique, first, back_to = np.unique(seg, return_index=True, return_inverse=True)
                     low_id = np.full(len(first), _LAST_ID)
                     np.minimum.at(low_id, back_to, ids[row[w]])
-                    hashes.append(seg[first])
-                    shard_of.append((key[w][first] % np.uint64(shards)).astype(np.int32))
+                    hashes.append(unique)
+                    shard_of.append((mix(k[first]) % np.uint64(shards)).astype(np.int64))
                     least.append(low_id)
-                    texts_out += [raw[a:b] for a, b in zip(s[w][first].tolist(), e[w][first].tolist(), strict=True)]
-                    places.append(np.stack([seg.view(np.int64), row[w] + base, s[w] - offsets[row[w]]]))
+                    strings += [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+                    places.append(np.stack([seg.view(np.int64), row[w] + base, s - offsets[row[w]]]))
             base += part.num_rows
         if not hashes:
             return empty
-        seg = np.concatenate(hashes)
-        unique, first, back_to = np.unique(seg, return_index=True, return_inverse=True)
+        unique, first, back_to = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         low_id = np.full(len(unique), _LAST_ID)
         np.minimum.at(low_id, back_to, np.concatenate(least))
-        place = np.concatenate(places, 1)
-        which = np.searchsorted(unique, place[0].view(np.uint64)).astype(np.int32)
-        packed = which.tobytes() + place[1].astype(np.int32).tobytes() + place[2].astype(np.int32).tobytes()
-        m = len(unique)
-        return pa.table(
-            {
-                "shard": pa.array(np.append(np.concatenate(shard_of)[first], -1 - number % shards), pa.int32()),
-                "block": pa.array([number] * (m + 1), pa.int32()),
-                "number": pa.array(np.append(np.arange(m), -1), pa.int32()),
-                "least": pa.array(np.append(low_id, 0), pa.int64()),
-                "segment": pa.array([texts_out[i] for i in first] + [None], pa.binary()),
-                "places": pa.array([None] * m + [packed], pa.binary()),
-            }
-        )
+        shard = np.concatenate(shard_of)[first]
+        order = np.argsort(shard, kind="stable")  # segments are numbered by shard
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        shard, first, low_id = shard[order], first[order], low_id[order]
+        size = np.array([len(strings[i]) for i in first], np.uint8)
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+        rows = {"shard": [], "block": [], "base": [], "n": [], "payload": []}
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            text = np.frombuffer(b"".join(strings[i] for i in first[a:b]), np.uint8)
+            for name, x in zip(rows, (int(shard[a]), number, a, b - a, _squeeze(low_id[a:b], size[a:b], text)), strict=True):
+                rows[name].append(x)
+        where = np.concatenate(places, 1)
+        which = place[np.searchsorted(unique, where[0].view(np.uint64))]
+        packed = _squeeze(which.astype(np.int32), where[1].astype(np.int32), where[2].astype(np.int32))
+        for name, x in zip(rows, (-1 - number % shards, number, -1, 0, packed), strict=True):
+            rows[name].append(x)
+        return pa.table(rows, empty.schema)
 
     asked = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(segments_of_block, asked_schema)
 
+    answer_schema = pa.schema([("block", pa.int32()), ("base", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
+
     def answers_of_shard(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        block, number = table.column("block").to_numpy(), table.column("number").to_numpy()
-        if shard < 0:  # a block's places pass through
-            return pa.table({"block": pa.array(block, pa.int32()), "numbers": pa.array([b""] * len(block), pa.binary()), "runs": pa.array([b""] * len(block), pa.binary()), "places": table.column("places").combine_chunks()})
-        whole = table.column("segment").combine_chunks().dictionary_encode()
-        whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
-        code = whole.indices.to_numpy()
-        strings = whole.dictionary.to_pylist()
-        least = np.full(len(strings), _LAST_ID)
-        np.minimum.at(least, code, table.column("least").to_numpy())
-        size = np.array([len(x) for x in strings], np.int64)
+        """For each block: runs in each of its segments, and first position and smallest holder of each run."""
+        if table.column("shard")[0].as_py() < 0:  # places pass through
+            return table.select(answer_schema.names).cast(answer_schema)
+        block, base, n = (table.column(c).to_numpy() for c in ("block", "base", "n"))
+        strings, least = [], []
+        for count, packed in zip(n.tolist(), table.column("payload").to_pylist(), strict=True):
+            raw = _swell(packed)
+            least.append(np.frombuffer(raw, np.int64, count))
+            ends = (9 * count + np.cumsum(np.frombuffer(raw, np.uint8, count, 8 * count), dtype=np.int64)).tolist()
+            strings += [raw[a:b] for a, b in zip([9 * count, *ends], ends, strict=False)]
+        number: dict[bytes, int] = {}
+        code = np.array([number.setdefault(x, len(number)) for x in strings], np.int64)
+        holders = np.full(len(number), _LAST_ID)
+        np.minimum.at(holders, code, np.concatenate(least))
+        size = np.array([len(x) for x in number], np.int64)
         offsets = np.concatenate([[0], np.cumsum(size)])
-        holder = smallest_holders(np.frombuffer(b"".join(strings), np.uint8), offsets, least)
-        # runs of equal holders in each string: (string, first position, holder)
-        of = np.repeat(np.arange(len(strings)), size)
+        holder = smallest_holders(np.frombuffer(b"".join(number), np.uint8), offsets, holders)
+        of = np.repeat(np.arange(len(size)), size)
         fresh = np.ones(len(holder), bool)
         fresh[1:] = (holder[1:] != holder[:-1]) | (of[1:] != of[:-1])
         at = np.flatnonzero(fresh)
-        n_runs = np.bincount(of[at], minlength=len(strings))
+        n_runs = np.bincount(of[at], minlength=len(size))
         first_run = np.cumsum(n_runs) - n_runs
-        out = {"block": [], "numbers": [], "runs": [], "places": []}
-        order = np.argsort(block, kind="stable")
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0])), len(order))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            mine = order[a:b]
-            c = code[mine]
+        payloads, done = [], 0
+        for count in n.tolist():
+            c = code[done : done + count]
+            done += count
             take = at[ranges(first_run[c], n_runs[c])]
-            out["block"].append(int(block[mine[0]]))
-            out["numbers"].append(np.stack([number[mine], n_runs[c]]).astype(np.int32).tobytes())
-            out["runs"].append((take - offsets[of[take]]).astype(np.int64).tobytes() + holder[take].tobytes())
-            out["places"].append(None)
-        return pa.table(out, pa.schema([("block", pa.int32()), ("numbers", pa.binary()), ("runs", pa.binary()), ("places", pa.binary())]))
+            payloads.append(_squeeze(n_runs[c].astype(np.uint8), (take - offsets[of[take]]).astype(np.uint8), holder[take]))
+        return pa.table({"block": block, "base": base, "n": n, "payload": pa.array(payloads, pa.binary())}).cast(answer_schema)
 
-    answers = asked.groupBy("shard").applyInArrow(answers_of_shard, "block int, numbers binary, runs binary, places binary")
+    answers = asked.groupBy("shard").applyInArrow(answers_of_shard, "block int, base int, n int, payload binary")
 
     def cut_block(table: pa.Table, answered: pa.Table) -> pa.Table:
         table = _canonical(table)
@@ -368,24 +406,20 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum(size)])
         ids = _ids(table.column("doc_id").combine_chunks())
         gone = np.zeros(int(offsets[-1]) + 1, np.int64)
-        packed = [x.as_py() for x in answered.column("places") if x.is_valid] if answered.num_rows else []
-        if packed:
-            which, row, start = np.frombuffer(packed[0], np.int32).reshape(3, -1).astype(np.int64)
-            numbers, counts, firsts, holders = [], [], [], []
-            for a, b in zip(answered.column("numbers").to_pylist(), answered.column("runs").to_pylist(), strict=True):
-                if a:
-                    pair = np.frombuffer(a, np.int32).reshape(2, -1)
-                    numbers.append(pair[0])
-                    counts.append(pair[1])
-                    both = np.frombuffer(b, np.int64).reshape(2, -1)
-                    firsts.append(both[0])
-                    holders.append(both[1])
-            number, count = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
-            first, holder = np.concatenate(firsts), np.concatenate(holders)
+        answered = answered.sort_by("base") if answered.num_rows else answered
+        if answered.num_rows:  # the first row has the places
+            payloads = [_swell(x) for x in answered.column("payload").to_pylist()]
+            which, row, start = np.frombuffer(payloads[0], np.int32).reshape(3, -1).astype(np.int64)
+            counts, firsts, holders = [], [], []
+            for n, said in zip(answered.column("n").to_pylist()[1:], payloads[1:], strict=True):
+                counts.append(np.frombuffer(said, np.uint8, n))
+                runs = (len(said) - n) // 9
+                firsts.append(np.frombuffer(said, np.uint8, runs, n))
+                holders.append(np.frombuffer(said[n + runs :], np.int64))
+            count = np.concatenate(counts).astype(np.int64)
+            first, holder = np.concatenate(firsts).astype(np.int64), np.concatenate(holders)
             begin = np.cumsum(count) - count
-            place = np.zeros(int(number.max()) + 1, np.int64)
-            place[number] = np.arange(len(number))
-            k = place[which]
+            k = which
             run = ranges(begin[k], count[k])
             occ = np.repeat(np.arange(len(k)), count[k])
             from_ = first[run]
@@ -408,7 +442,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         kept = [data[a:b][~removed[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         out = {"doc_id": table.column("doc_id"), "n_bytes": pa.array(size), "n_removed": pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), "n_spans": pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
         if cut:
-            out["row"] = table.column("row")
+            out["row"] = table.column("row").cast(_nullable(table.column("row").type))
             out["kept"] = pa.array([None if t is None else x.decode("utf-8", "ignore") for t, x in zip(texts_in, kept, strict=True)], pa.string())
         return pa.table(out)
 
