@@ -9,7 +9,7 @@ the probability of their weighted Jaccard similarity. Points are generated in ti
 by which a bag of this weight has very likely filled its registers, and further for those that have not.
 
 Signatures are cut into bands. Documents with equal bags are one vertex. In each bucket of a band every
-member is paired with the bucket's smallest, and pairs are verified on the whole texts by the exact
+member is paired with the one that meets most others in all buckets, and pairs are verified on the whole texts by the exact
 similarity of the bags. Buckets whose members are then still in several components pair members across
 components, where their signatures agree well enough not to be excluded. Connected components of the
 verified links are the classes.
@@ -36,8 +36,10 @@ from .slabs import mix, prefix_hash, range_hash, ranges, slabs, words
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Registers that must agree for a pair in a mixed bucket to be verified; a pair of similarity 0.8 agrees
-#: in 96 of 120 on average and in fewer than 72 with probability 1e-7.
-LEAST_AGREEING = 72
+#: in 96 of 120 on average and in fewer than 80 with probability 3e-4.
+LEAST_AGREEING = 80
+#: Members of a block of a mixed bucket.
+BLOCK_MEMBERS = 2000
 _SLAB = 1 << 20
 _M = BANDS * ROWS
 
@@ -123,7 +125,7 @@ def _next_point(seed: np.ndarray, turn: np.ndarray, rate: np.ndarray) -> np.ndar
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, bag_a, bag_b (a 128-bit hash of the bag; null without words), bands, registers."""
+    """doc_id, bag_a, bag_b (a 128-bit hash of the bag; null without words), weight, bands, registers."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +146,9 @@ def sign(docs: DataFrame) -> DataFrame:
                     h = mix(h + sig[:, k::ROWS] + np.uint64(k + 1))
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(h.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
                 registers = [x.tobytes() for x in sig.astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *whole, bands, pa.array(registers, pa.binary())], names=["doc_id", "bag_a", "bag_b", "bands", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *whole, pa.array(np.bincount(row, weight, minlength=n).astype(np.int64)), bands, pa.array(registers, pa.binary())], names=["doc_id", "bag_a", "bag_b", "weight", "bands", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {key}, bag_a bigint, bag_b bigint, bands array<bigint>, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {key}, bag_a bigint, bag_b bigint, weight bigint, bands array<bigint>, registers binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int) -> np.ndarray:
@@ -195,38 +197,79 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("id", "label")
 
 
+def across_components(members: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members (band, h, n, id, label) of one bucket with different labels.
+
+    Members of a bucket are dealt into blocks, and each pair of blocks is one group of bounded size. It
+    holds the members' bags, so pairs are verified where they meet and none but links leave it.
+    """
+    key = docs.schema["doc_id"].dataType.simpleString()
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slabs(batch, limit=_SLAB):
+                row, h, w = bags(data, offsets)
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                both = [h[i:j].tobytes() + w[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(both, pa.binary())], names=["id", "bag"])
+
+    # rows that share an id are one vertex, the one whose bag was signed
+    bag = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(packed, f"id {key}, bag binary").groupBy("id").agg(F.min("bag").alias("bag"))
+    whole = bag.join(vertices.select("id", "weight", "registers").join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "id")
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label").join(whole, "id")
+
+    def compared(table: pa.Table) -> pa.Table:
+        ids, label, weight, own = (table.column(c).to_numpy() for c in ("id", "label", "weight", "own"))
+        sig = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
+        raw = table.column("bag").to_pylist()
+        size = np.array([len(x) // 12 for x in raw])
+        first = np.cumsum(size) - size
+        h = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(raw, size.tolist(), strict=True)])
+        w = np.concatenate([np.frombuffer(x, np.int32, n, 8 * n) for x, n in zip(raw, size.tolist(), strict=True)])
+        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        a, b = [], []
+        for k in range(len(ids)):
+            near = np.flatnonzero((ids < ids[k]) & (label != label[k]) & (np.minimum(weight, weight[k]) >= SIMILARITY * np.maximum(weight, weight[k])) & ((own != own[k]) | (not across)))
+            near = near[(sig[near] == sig[k]).sum(1) >= LEAST_AGREEING] if len(near) else near
+            if not len(near):
+                continue
+            mine, many = slice(first[k], first[k] + size[k]), size[near]
+            at = ranges(first[near], many)
+            place = np.minimum(np.searchsorted(h[mine], h[at]), size[k] - 1)
+            both = np.where(h[mine][place] == h[at], np.minimum(w[mine][place], w[at]), 0)
+            common = np.bincount(np.repeat(np.arange(len(near)), many), both, minlength=len(near))
+            near = near[common >= SIMILARITY * (weight[near] + weight[k] - common)]
+            a.append(np.full(len(near), ids[k]))
+            b.append(ids[near])
+        return pa.table({"a": np.concatenate(a) if a else ids[:0], "b": np.concatenate(b) if b else ids[:0]})
+
+    return dealt.groupBy("band", "h", "i", "j").applyInArrow(compared, f"a {key}, b {key}").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest id of the class) of each row."""
     signed = settle(sign(docs))
-    vertices = signed.where("bag_a is not null and doc_id is not null").groupBy("bag_a", "bag_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    vertices = signed.where("bag_a is not null and doc_id is not null").groupBy("bag_a", "bag_b").agg(F.min("doc_id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     vertices = settle(vertices)
     members = vertices.select("id", F.posexplode("bands").alias("band", "h"))
-    centres = members.groupBy("band", "h").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "h", "centre")
-    in_buckets = settle(members.join(centres, ["band", "h"]).select("id", "band", "h", "centre"))
-    first = in_buckets.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    shared = members.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
+    in_buckets = settle(members.join(shared, ["band", "h"]))
+    # the text that copies were made from meets more of them than they meet each other
+    met = in_buckets.groupBy("id").agg(F.sum("n").alias("met"))
+    centres = in_buckets.join(met, "id").groupBy("band", "h").agg(F.min(F.struct((-F.col("met")).alias("m"), "id")).alias("c")).select("band", "h", F.col("c.id").alias("centre"))
+    pairs = in_buckets.join(centres, ["band", "h"]).where("id <> centre")
+    first = settle(pairs.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct())
     links = settle(verify(first, docs))
     label = components(links)
     # buckets whose members are not in one component yet
     labelled = in_buckets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "h")
-    left_over = labelled.join(mixed, ["band", "h"]).join(vertices.select("id", "registers"), "id").select("band", "h", "id", "label", "registers")
-    key = docs.schema["doc_id"].dataType.simpleString()
-
-    def across(table: pa.Table) -> pa.Table:
-        ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
-        a, b = [], []
-        for i in range(len(ids)):
-            alike = np.flatnonzero((ids < ids[i]) & (label != label[i]))
-            alike = alike[(sig[alike] == sig[i]).sum(1) >= LEAST_AGREEING]
-            a.append(np.full(len(alike), ids[i]))
-            b.append(ids[alike])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    second = left_over.groupBy("band", "h").applyInArrow(across, f"a {key}, b {key}").distinct().join(first, ["a", "b"], "left_anti")
-    second = settle(second)
-    if not second.isEmpty():
-        label = components(links.union(verify(second, docs)))
+    left_over = settle(labelled.join(mixed, ["band", "h"]).select("band", "h", "n", "id", "label"))
+    if not left_over.isEmpty():
+        label = components(links.union(across_components(left_over, vertices, docs)))
     of_bag = vertices.select("bag_a", "bag_b", "id").join(label, "id", "left").select("bag_a", "bag_b", F.coalesce("label", "id").alias("class_id"))
     return signed.select("doc_id", "bag_a", "bag_b").join(of_bag, ["bag_a", "bag_b"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
