@@ -3,9 +3,10 @@
 A byte is removed if it lies in a string of WINDOW bytes that also starts in a document with a smaller
 id. All such strings are found, and none else:
 
-1. Every WINDOW-byte string has an anchor, its GRAM-byte substring with the smallest hash, which is the
-   same wherever the string stands. Blocks of documents send the hashes of their anchors to buckets
-   (four bytes each), which tell each block those that occur in two documents or more.
+1. Every WINDOW-byte string has an anchor, its GRAM-byte substring with the smallest hash, the leftmost
+   of equal ones, which is at the same place in the string wherever that stands. Blocks of documents send
+   the hashes of their anchors to buckets (four bytes each), which tell each block those that occur in
+   two documents or more.
 2. Around each such anchor a document has a segment, the neighbouring strings with that anchor. A block
    sends each distinct segment once, with the smallest id that has it, to the shard of its anchor.
    Anchors that more than HOT_BLOCKS blocks share are refined: a string reaches 15 bytes beyond the
@@ -55,24 +56,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return none, none, np.zeros(0, np.uint64), none, none
     p = prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
-    low = (range_hash(p, at, at + GRAM) & ~np.uint64(63)) | (at & 63).astype(np.uint64)
-    width = 1
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < span:
-        low = np.minimum(low[: width - span], low[span - width :])
+    # the position modulo 64 breaks ties; a string over which it wraps takes the one that is shifted by 32
+    h = range_hash(p, at, at + GRAM)
+    near = _least(h, at & 63, span)
+    wrapped = np.arange(n) & 63 > 64 - span
+    near[wrapped] = _least(h, at + 32 & 63, span)[wrapped] ^ np.uint64(32)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     start = np.flatnonzero(np.arange(n) + WINDOW <= offsets[row + 1])
     if not len(start):
         return none, none, np.zeros(0, np.uint64), none, none
-    found = start + (((low[start] & np.uint64(63)).astype(np.int64) - start) & 63)
+    found = start + (((near[start] & np.uint64(63)).astype(np.int64) - start) & 63)
     fresh = np.ones(len(start), bool)
     fresh[1:] = (found[1:] != found[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(fresh)
     found, begin = found[first], start[first]
     end = start[np.append(first[1:], len(start)) - 1]
-    return found, np.searchsorted(offsets, found, "right") - 1, range_hash(p, found, found + GRAM), begin, end
+    return found, np.searchsorted(offsets, found, "right") - 1, h[found], begin, end
+
+
+def _least(h: np.ndarray, tie: np.ndarray, span: int) -> np.ndarray:
+    """The least of each `span` neighbours, where `tie` stands for the six low bits."""
+    low = (h & ~np.uint64(63)) | tie.astype(np.uint64)
+    width = 1
+    while width * 2 <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    return np.minimum(low[: width - span], low[span - width :]) if width < span else low
 
 
 class RunIndex:
@@ -334,7 +343,12 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
                     shard_of.append((mix(k[first]) % np.uint64(shards)).astype(np.int64))
                     least.append(low_id)
                     strings += [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
-                    places.append(np.stack([seg.view(np.int64), row[w] + base, s - offsets[row[w]]]))
+                    # the same segment again and again, as in periodic text, is one place that reaches further
+                    of, s = row[w] + base, s - offsets[row[w]]
+                    again = (seg[1:] == seg[:-1]) & (of[1:] == of[:-1]) & (s[1:] - s[:-1] <= WINDOW)
+                    head = np.flatnonzero(np.concatenate([[True], ~again]))
+                    tail = np.append(head[1:], len(s)) - 1
+                    places.append(np.stack([seg[head].view(np.int64), of[head], s[head], s[tail] - s[head]]))
             base += part.num_rows
         if not hashes:
             return empty
@@ -355,7 +369,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
                 rows[name].append(x)
         where = np.concatenate(places, 1)
         which = place[np.searchsorted(unique, where[0].view(np.uint64))]
-        packed = _squeeze(which.astype(np.int32), where[1].astype(np.int32), where[2].astype(np.int32))
+        packed = _squeeze(which.astype(np.int32), *where[1:].astype(np.int32))
         for name, x in zip(rows, (-1 - number % shards, number, -1, 0, packed), strict=True):
             rows[name].append(x)
         return pa.table(rows, empty.schema)
@@ -409,7 +423,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         answered = answered.sort_by("base") if answered.num_rows else answered
         if answered.num_rows:  # the first row has the places
             payloads = [_swell(x) for x in answered.column("payload").to_pylist()]
-            which, row, start = np.frombuffer(payloads[0], np.int32).reshape(3, -1).astype(np.int64)
+            which, row, start, further = np.frombuffer(payloads[0], np.int32).reshape(4, -1).astype(np.int64)
             counts, firsts, holders = [], [], []
             for n, said in zip(answered.column("n").to_pylist()[1:], payloads[1:], strict=True):
                 counts.append(np.frombuffer(said, np.uint8, n))
@@ -428,7 +442,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
             occ, from_, until = occ[hit], from_[hit], after[run[hit]]
             # strings start at from_ .. until - 1; the last run of a segment is too short for one
             left = offsets[row[occ]] + start[occ] + from_
-            right = offsets[row[occ]] + start[occ] + until - 1 + WINDOW
+            right = offsets[row[occ]] + start[occ] + further[occ] + until - 1 + WINDOW
             np.add.at(gone, left, 1)
             np.add.at(gone, np.minimum(right, offsets[row[occ] + 1]), -1)
         removed = np.cumsum(gone)[:-1] > 0

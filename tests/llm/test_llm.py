@@ -125,6 +125,31 @@ def test_repeats(spark, docs, empty, monkeypatch, block_bytes, hot):
     assert cut.columns == [*docs.columns, "row", "kept"] and cut.count() == len(rows)
 
 
+def test_repeats_in_periodic_text(spark, monkeypatch):
+    monkeypatch.setattr(run_index, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(run_index, "HOT_BLOCKS", 2)
+    rng = random.Random(5)
+    units = ["a", "xy", "The ", "abcdef", "0123 45", "twenty-five bytes of text"]
+    rows = [(i, "".join(rng.choices("pqrst", k=rng.randrange(70))) + (units[i % 6] * 70)[: rng.randint(51, 75)] + rng.choice("pqrst")) for i in range(180)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run_index.mark_repeats(table).collect()}
+    assert got == brute_repeats(rows)
+
+
+@given(st.text("pqrst", max_size=70), st.sampled_from(["a", "xy", "The ", "abcdef", "0123 45", "twenty-five bytes of text"]), st.integers(0, 24))
+@settings(max_examples=60, deadline=None)
+def test_anchor_depends_on_the_string_alone(before, unit, shift):
+    def place(text, start):
+        data = np.frombuffer(text.encode(), np.uint8)
+        at, _, _, begin, end = run_index.anchors(data, np.array([0, len(data)]))
+        k = np.flatnonzero((begin <= start) & (start <= end))
+        return at[k].tolist(), start
+
+    string = (unit * 80)[shift : shift + run_index.WINDOW]
+    (a,), s = place(before + string, len(before))
+    assert [a - s] == place(string, 0)[0]
+
+
 @given(st.lists(st.text("ab", max_size=70), min_size=1, max_size=6), st.sampled_from([5, 9, 40]))
 @settings(max_examples=60, deadline=None)
 def test_run_index(strings, window):
