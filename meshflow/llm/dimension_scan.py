@@ -8,12 +8,13 @@ among SEEDS sampled rows, and candidates that are farther with high confidence a
 the cosine of the original vectors in double precision.
 
 A list is dealt out in chunks of rows, so that one frequent vector doesn't fill one task, and the
-queries go to each chunk of their lists. Each chunk keeps k results for a query; a query's results are
-merged afterwards. Equal vectors are scanned once, whatever their number, with the k smallest ids.
+queries go to each chunk of their lists. Equal vectors are scanned once, whatever their number. Wherever
+results are cut, k of each id and 2 k of all stay: without any one id, these hold the k best.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or non-finite
 component take no part. Ties go to the smaller id. Fewer candidates than k: all of them. Repeated ids are
-separate candidates, but a query's own id is never its result. Empty table: empty result.
+separate candidates, but a query's own id is never its result, whatever its rows; a query id with several
+vectors has k results for each of them. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -100,20 +101,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
         return spark.createDataFrame([], schema)
     dim, total = by_dim["d"], by_dim["count"]
     rows, queries = rows.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    some = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()])
+    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    some = np.array([r.v for r in sampled])
     turn = rotation(dim)
     lists = int(min(MAX_LISTS, max(1, total // LIST_ROWS)))
     centres = fit_centres(_unit(some).astype(np.float32) @ turn, lists)
     lists = len(centres)
     probes = min(lists, max(MIN_PROBES, int(PROBE_SHARE * lists)))
-    seeds = np.unique(_unit(some[:SEEDS]), axis=0).astype(np.float32) @ turn
+    each = np.sort(np.unique([r.vec_id for r in sampled], return_index=True)[1])[:SEEDS]  # at most one has a query's id
+    seeds = np.unique(_unit(some[each]), axis=0).astype(np.float32) @ turn
     shipped = spark.sparkContext.broadcast((centres, turn, seeds))
 
-    # equal vectors are one candidate with up to k + 1 ids (one may be the query's own)
+    # equal vectors are one candidate with up to 2 k ids, each up to k times
     same = Window.partitionBy("v").orderBy("vec_id")
-    candidates = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    candidates = rows.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    candidates = candidates.withColumn("n", F.row_number().over(same)).where(F.col("n") <= 2 * k).groupBy("v").agg(F.slice(F.flatten(F.sort_array(F.collect_list(F.array_repeat("vec_id", F.col("times"))))), 1, 2 * k).alias("ids"))
     # queries with equal vectors are searched once
-    asked = queries.groupBy("v").agg(F.min("vec_id").alias("asked"))
+    asked = queries.select("v").distinct().select(F.xxhash64("v").alias("asked"), "v")
 
     def nearest_lists(n: int):
         @F.pandas_udf("array<int>")
@@ -154,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), other_n - 1)))
 
     row_n, asked_n = chunks(rows_in), chunks(asked_in)
-    candidates = dealt(candidates.select(F.lit(False).alias("is_query"), F.lit(None).cast("bigint").alias("asked"), "ids", "v", F.lit(0.0).cast("float").alias("bound"), "list"), "row_chunk", row_n, "asked_chunk", asked_n)
+    candidates = dealt(candidates.select(F.lit(False).alias("is_query"), F.lit(0).cast("bigint").alias("asked"), "ids", "v", F.lit(0.0).cast("float").alias("bound"), "list"), "row_chunk", row_n, "asked_chunk", asked_n)
     asked = dealt(asked.select(F.lit(True).alias("is_query"), "asked", F.array().cast("array<bigint>").alias("ids"), "v", "bound", "list"), "asked_chunk", asked_n, "row_chunk", row_n)
 
     def scanned(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,17 +174,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
             n = np.array([len(x) for x in ids], int)
             got = np.concatenate([ids[i] for i in ri]) if len(ri) else np.zeros(0, np.int64)
             qi, score = np.repeat(qi, n[ri]), np.repeat(score, n[ri])
-            order = np.lexsort((got, -score, qi))
+            order = np.lexsort((-score, got, qi))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (got[order][1:] != got[order][:-1]) | (qi[order][1:] != qi[order][:-1])
+            first = np.flatnonzero(fresh)
+            order = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+            order = order[np.lexsort((got[order], -score[order], qi[order]))]
             place = np.arange(len(order)) - np.searchsorted(qi[order], qi[order])
-            order = order[place <= k]
+            order = order[place < 2 * k]
             out = {"asked": asked_ids[qi[order]], "vec_id": got[order].astype(np.int64), "score": score[order]}
         return pd.DataFrame(out)
 
     found = candidates.unionByName(asked).groupBy("list", "row_chunk", "asked_chunk").applyInPandas(scanned, "asked bigint, vec_id bigint, score double")
+    of_id = Window.partitionBy("asked", "vec_id").orderBy(F.desc("score"))
+    found = found.withColumn("n", F.row_number().over(of_id)).where(F.col("n") <= k)
     top = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1)
+    found = found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= 2 * k)
     lists_of = found.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("top"))
-    owners = queries.select("vec_id", "v").join(queries.groupBy("v").agg(F.min("vec_id").alias("asked")), "v").select(F.col("vec_id").alias("query_id"), "asked").distinct()
+    owners = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("asked")).distinct()
     own = F.filter("top", lambda x: x["vec_id"] != F.col("query_id"))
     joined = owners.join(lists_of, "asked").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("pos", "x"))
     return joined.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

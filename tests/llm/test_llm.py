@@ -238,6 +238,32 @@ def test_neighbours(spark, monkeypatch):
     assert dimension_scan.search(few, few).count() == 6 and dimension_scan.search(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [2000, 30])
+def test_neighbours_with_repeated_ids(spark, monkeypatch, chunk):
+    monkeypatch.setattr(dimension_scan, "CHUNK_ROWS", chunk)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 16)).round(3)
+    x[60:64] = x[0]  # other ids with the vector of a query
+    ids = np.arange(200)
+    rows = [(int(i), v) for i, v in zip(ids, x)]
+    rows += [(0, x[0])] * 11 + [(50, x[50])] + [(1, x[1])] * 3 + [(61, x[0])] * 2  # rows that repeat
+    rows += [(100, v) for v in (x[100] + rng.normal(size=(40, 16)) / 50).round(3)]  # a hot id with close vectors
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    asked = {(i, tuple(v.tolist())) for i, v in rows if i in (0, 1, 50, 61, 100, 150)}
+    query = spark.createDataFrame([(i, list(v)) for i, v in asked], "vec_id bigint, embedding array<double>")
+    for r in dimension_scan.search(table, query).collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 9)))
+    expected = collections.defaultdict(list)
+    for q, v in asked:
+        v = np.array(v)
+        s = sorted((-round(float(w @ v / np.linalg.norm(w) / np.linalg.norm(v)), 9), i) for i, w in rows if i != q)
+        expected[q] += [(k + 1, i, -score) for k, (score, i) in enumerate(s[:5])]
+    for q in expected:
+        assert [x[:2] for x in sorted(got[q])] == [x[:2] for x in sorted(expected[q])]
+        assert np.allclose([x[2] for x in sorted(got[q])], [x[2] for x in sorted(expected[q])], atol=1e-8)
+
+
 # op6
 
 
