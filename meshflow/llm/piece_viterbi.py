@@ -2,10 +2,11 @@
 
 The lattice has a state for each boundary and last piece. For a BPE model a transition from piece u to
 piece t scores 0 where encoding u + t alone gives [u, t], and minus infinity elsewhere, so that the
-best path is the model's own encoding and every boundary keeps one surviving back pointer. For a
-unigram model a transition scores the piece's log probability. Either way only the boundaries within
-one maximum piece length can still be reached from what follows: StreamingViterbi holds that window,
-and commits ids as soon as the paths of all boundaries in it meet in one boundary.
+best path is the model's own encoding and every boundary keeps one surviving back pointer. Models of
+other kinds (unigram, word, char) are refused. Only the boundaries within one maximum piece length can
+still be reached from what follows: StreamingViterbi holds that window, and commits ids as soon as the
+paths of all boundaries in it meet in one boundary. Words that fit into twice that length, where nothing
+is committed before the end, are encoded whole by the same rule (PrefixEncoder).
 
 Words (a run of word marks and what follows it) are cut where no piece of the vocabulary can span;
 all paths meet there. Words of up to 64 characters are memoised.
@@ -76,11 +77,45 @@ class StreamingViterbi:
         return out[::-1]
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protocol buffer message's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            b = message[at]
+            at, value, shift = at + 1, value | (b & 127) << shift, shift + 7
+            if b < 128:
+                return value
+
+    while at < len(message):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            yield number, message[at : at + size]
+            at += size
+
+
+def is_bpe(model: bytes) -> bool:
+    """Whether the trainer spec (field 2) of a serialized model has model type (field 3) BPE; the default is unigram."""
+    kind = 1
+    for number, spec in _fields(model):
+        if number == 2:
+            kind = dict(_fields(spec)).get(3, kind)
+    return kind == 2
+
+
 class PieceModel:
     """Encodes and decodes as the library does for a BPE model with an identity normaliser."""
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if not is_bpe(sp.serialized_model_proto()):
+            raise ValueError("only BPE models are handled")
         size = sp.get_piece_size()
         self.names = [sp.id_to_piece(i) for i in range(size)]
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(self.names) if sp.is_byte(i)}

@@ -333,6 +333,18 @@ def test_streaming_commits(pieces):
     assert fed < 200
 
 
+def test_other_models_are_refused(tmp_path):
+    text = tmp_path / "text"
+    text.write_text("\n".join(prose(random.Random(i), 20).replace("\n", " ") for i in range(200)))
+    for kind in ("bpe", "unigram"):
+        sentencepiece.SentencePieceTrainer.train(input=str(text), model_prefix=str(tmp_path / kind), model_type=kind, vocab_size=100, hard_vocab_limit=kind == "bpe", normalization_rule_name="identity", remove_extra_whitespaces=False)
+        if kind == "bpe":
+            piece_viterbi.PieceModel(str(tmp_path / "bpe.model"))
+        else:
+            with pytest.raises(ValueError, match="BPE"):
+                piece_viterbi.PieceModel(str(tmp_path / "unigram.model"))
+
+
 def test_piece_documents(docs, empty, pieces):
     path = public_tokenizers.path("piece_bpe_32k.model")
     encoded = piece_viterbi.encode_documents(docs, path)
