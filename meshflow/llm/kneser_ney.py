@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-For each language a byte n-gram model of order ORDER is estimated from every trusted document (A-Z
-lower-cased, with start and end symbols). Counting, continuation counts, discounts, interpolation
+For each language a byte n-gram model of order ORDER is estimated from all trusted documents but one in
+HOLD_OUT, which set the thresholds (A-Z lower-cased, with start and end symbols). Counting, continuation counts, discounts, interpolation
 weights and probabilities are DataFrame aggregations and joins over distinct n-grams. The model is then
 dealt into shards of bounded size by language and the two bytes before the last, which all orders of an
 n-gram share, and the documents pass one shard after the other: each joins the n-grams of whole texts
