@@ -11,9 +11,9 @@ id. All such strings are found, and none else:
    sends each distinct segment once, with the smallest id that has it, to the shard of its anchor.
    Anchors that more than HOT_BLOCKS blocks share are refined: a string reaches 15 bytes beyond the
    anchor to the left, or else to the right, and goes to the shard of the anchor with those bytes.
-3. A shard builds a run-compressed Burrows-Wheeler transform of its segments, with samples at run ends,
-   and streams each segment through it backwards. The rows that it meets give the matches of WINDOW
-   bytes or more, and the smallest id among a match's holders is sent back to the blocks.
+3. A shard builds the suffix array of its segments. Neighbours in it that share WINDOW bytes or more are
+   the matches; the rows of each position are met by streaming the segments backwards through the
+   run-compressed Burrows-Wheeler transform, though the suffix array has them too. The smallest id among a match's holders is sent back to the blocks.
 4. Blocks mark what is covered, judged on the input, and cut it out.
 
 What a shard gets from a group of copies is one segment from each block, whatever the group's size.
