@@ -1,8 +1,9 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
 Each shard (a slab of documents) builds a suffix array over its words and every benchmark suffix is
-binary-searched in it, one word at a time, which yields its longest verbatim match and the places
-where it stands. A window is `window` consecutive words of one item; an item of fewer words, but not
+binary-searched in it, one word at a time. find_contamination() searches the suffixes that start a
+window and stops at the window's length; longest_matches() goes on to each suffix's longest verbatim
+match, for one slab, and the query doesn't call it. A window is `window` consecutive words of one item; an item of fewer words, but not
 none, is one window. Words that can't be part of an occurrence are left out of the suffix array: only
 runs of benchmark words that are as long as the shortest window stay, which loses no match.
 
