@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def _div(a: Column, n: int) -> Column:
-    return F.floor(a / F.lit(n)).cast("int") if n > 1 else a.cast("int")
+    return F.call_function("div", a - F.pmod(a, F.lit(n)), F.lit(n)) if n > 1 else a
 
 
 def coords(index: Column, dims: Sequence[int]) -> list[Column]:

@@ -34,6 +34,7 @@ CHUNKS = T.StructType(
         T.StructField("dtype", T.StringType()),
         T.StructField("data", T.ArrayType(T.DoubleType())),
         T.StructField("data_long", T.ArrayType(T.LongType())),
+        T.StructField("worker", T.StringType()),
     ]
 )
 FEEDBACK = T.StructType(

@@ -56,5 +56,5 @@ def cells(blocks: DataFrame, block_shape: Sequence[int], grid: Sequence[int], da
     """One row for each cell: the other columns, its global indices i0, i1, ... and value."""
     rest = [c for c in blocks.columns if c not in (data, "block_index")]
     out = blocks.select(*rest, "block_index", F.posexplode(data).alias("_local", "value"))
-    at = [g * n + i for g, n, i in zip(coords(F.col("block_index"), grid), block_shape, coords(F.col("_local"), block_shape), strict=True)]
-    return out.select(*rest, *[c.cast("bigint").alias(f"i{d}") for d, c in enumerate(at)], "value")
+    at = [g.cast("bigint") * n + i for g, n, i in zip(coords(F.col("block_index"), grid), block_shape, coords(F.col("_local"), block_shape), strict=True)]
+    return out.select(*rest, *[c.alias(f"i{d}") for d, c in enumerate(at)], "value")

@@ -310,10 +310,31 @@ def elementwise_binary(spark, sf_dir):
     return out.select(F.col("block_index").alias("i0"), F.round(A.chunk_sum(F.col("data")), 4).alias("total"))
 
 
-@query("SELECT TRUE AS equal")
+@query(CELLS + """ SELECT bool_and(value * 2 / 2 = value) AS same, bool_and(CASE WHEN i0 = 7 AND i1 = 3 THEN value + 1 ELSE value END = value) AS one_cell_changed FROM cells""")
 def array_equal(spark, sf_dir):
     x = matrix(spark, sf_dir)
-    return A.all_equal(x, A.elementwise(A.elementwise(x, lambda v: v * 2), lambda v: v / 2), ["block_index"])
+    changed = A.elementwise(x, lambda v, i: F.when((F.col("block_index") == 7) & (i == 3), v + 1).otherwise(v))
+    same = A.all_equal(x, A.elementwise(A.elementwise(x, lambda v: v * 2), lambda v: v / 2), ["block_index"])
+    both = same.select(F.lit(0).alias("k"), F.col("equal").alias("same")).join(A.all_equal(x, changed, ["block_index"]).select(F.lit(0).alias("k"), F.col("equal").alias("one_cell_changed")), "k")
+    return both.drop("k")
+
+
+@query(CELLS + " SELECT i0, round(product(1 + value / 100), 6) AS product FROM cells GROUP BY i0")
+def array_product(spark, sf_dir):
+    rows = A.elementwise(matrix(spark, sf_dir), lambda v: 1 + v / 100)
+    return A.product(rows, by=["block_index"]).select(F.col("block_index").alias("i0"), F.round("product", 6).alias("product"))
+
+
+@query(CELLS + " SELECT i1, round(var_pop(value), 6) AS variance, round(stddev_pop(value), 6) AS std, bool_or(value > 3) AS any_cell, bool_and(value < 3) AS all_cells FROM cells GROUP BY i1")
+def axis_moments(spark, sf_dir):
+    cells = matrix_cells(spark, sf_dir)
+    tests = A.any_all_axes(cells, ["i1"], lambda v: v > 3).select("i1", "any_cell").join(A.any_all_axes(cells, ["i1"], lambda v: v < 3).select("i1", "all_cells"), "i1")
+    return A.reduce_axes(cells, ["i1"]).select("i1", F.round("variance", 6).alias("variance"), F.round("std", 6).alias("std")).join(tests, "i1")
+
+
+@query(CELLS + " SELECT i0, arg_min(i1, (value, i1)) AS arg_smallest, arg_min(i1, (-value, i1)) AS arg_largest FROM cells GROUP BY i0")
+def axis_argminmax(spark, sf_dir):
+    return A.arg_axes(matrix_cells(spark, sf_dir), ["i0"], "i1")
 
 
 @query(CELLS + " SELECT i0, round(sum(value * value), 4) AS total FROM cells GROUP BY i0")
@@ -322,11 +343,10 @@ def map_blocks_sum(spark, sf_dir):
     return out.select(F.col("block_index").alias("i0"), F.round(F.col("data")[0], 4).alias("total"))
 
 
-@query(CELLS + " SELECT i0, i1, value FROM cells WHERE i0 BETWEEN 10 AND 19 AND i1 % 2 = 0")
+@query(CELLS + " SELECT i0 - 10 AS i0, CAST(i1 // 2 AS INTEGER) AS i1, value FROM cells WHERE i0 BETWEEN 10 AND 19 AND i1 % 2 = 0")
 def array_slice(spark, sf_dir):
     """x[10:20, ::2]; the slice on i0 reaches the scan as a filter."""
-    rows = matrix(spark, sf_dir).where("block_index between 10 and 19")
-    return rows.select(F.col("block_index").alias("i0"), F.posexplode("data").alias("i1", "value")).where("i1 % 2 = 0")
+    return A.take(matrix_cells(spark, sf_dir), {"i0": slice(10, 20), "i1": slice(None, None, 2)}, {"i0": 1 << 40, "i1": 1 << 20})
 
 
 @query(EV + " SELECT array_name, timestep, round(total - lag(total) OVER w, 4) AS diff FROM arrays WINDOW w AS (PARTITION BY array_name ORDER BY timestep)")
@@ -345,6 +365,14 @@ def stencil(spark, sf_dir):
     return A.stencil(matrix_cells(spark, sf_dir), "i1", ["i0"]).select("i0", "i1", F.round("laplacian", 6).alias("laplacian"))
 
 
+@query(CELLS + """ SELECT i0, i1, round(lag(value) OVER r + lead(value) OVER r - 2 * value + (lag(value) OVER c + lead(value) OVER c - 2 * value), 6) AS laplacian FROM cells
+WHERE i0 < 200 WINDOW r AS (PARTITION BY i1 ORDER BY i0), c AS (PARTITION BY i0 ORDER BY i1)""")
+def stencil_2d(spark, sf_dir):
+    """On x[:200], over both axes."""
+    cells = A.take(matrix_cells(spark, sf_dir), {"i0": slice(200)}, {"i0": 1 << 40})
+    return A.stencil(cells, ["i0", "i1"]).select("i0", "i1", F.round("laplacian", 6).alias("laplacian"))
+
+
 @query(CELLS + " SELECT CAST(least(floor((value + 4) / 0.5), 15) AS INTEGER) AS bin, count(*) AS n FROM cells WHERE value BETWEEN -4 AND 4 GROUP BY 1")
 def histogram(spark, sf_dir):
     return A.histogram(matrix_cells(spark, sf_dir), -4, 4, 16)
@@ -357,7 +385,8 @@ def topk(spark, sf_dir):
 
 @query(CELLS + " SELECT i1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM cells GROUP BY i1")
 def quantile(spark, sf_dir):
-    return matrix_cells(spark, sf_dir).groupBy("i1").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    found = A.quantiles(matrix_cells(spark, sf_dir), ["i1"], [0.5, 0.9]).groupBy("i1")
+    return found.agg(*(F.round(F.max(F.when(F.col("q") == q, F.col("quantile"))), 6).alias(n) for q, n in ((0.5, "median"), (0.9, "p90"))))
 
 
 @query(CELLS + " SELECT count(DISTINCT value) AS n_unique FROM cells")
@@ -375,6 +404,20 @@ def dot_gram(spark, sf_dir):
     return A.gram_matrix(matrix(spark, sf_dir)).select("i", "j", F.round("value", 4).alias("value"))
 
 
+@query(CELLS + """, g AS (SELECT a.i1 AS k, b.i1 AS j, sum(a.value * b.value) AS v FROM cells a JOIN cells b USING (i0) WHERE b.i1 < 4 GROUP BY ALL)
+SELECT i0, j AS i1, round(sum(value * v), 2) AS value FROM cells JOIN g ON i1 = k GROUP BY ALL""")
+def matmul(spark, sf_dir):
+    """X times the first four columns of its Gram matrix."""
+    gram = A.gram_matrix(matrix(spark, sf_dir)).where("j < 4").select(F.col("i").alias("i0"), F.col("j").alias("i1"), "value")
+    return A.matmul(matrix_cells(spark, sf_dir), gram).select("i0", "i1", F.round("value", 2).alias("value"))
+
+
+@query(CELLS + " SELECT round(sum(value * (value + 1)), 4) AS dot FROM cells")
+def dot_product(spark, sf_dir):
+    x = matrix(spark, sf_dir)
+    return A.dot(x, A.elementwise(x, lambda v: v + 1), ["block_index"]).select(F.round("dot", 4).alias("dot"))
+
+
 @query("SELECT count(*) AS npartitions, CAST(min(len(embedding)) AS BIGINT) AS chunk_width, CAST(max(vec_id) + 1 AS BIGINT) AS rows FROM embeddings")
 def npartitions(spark, sf_dir):
     return matrix(spark, sf_dir).agg(F.count_distinct("block_index").alias("npartitions"), F.min(F.size("data")).cast("bigint").alias("chunk_width"), (F.max("block_index") + 1).alias("rows"))

@@ -1,9 +1,11 @@
 """Producers, callbacks and feedback around one chunk log.
 
-A Session is the rendezvous: producers declare arrays and send chunks, the analysis registers callbacks,
-and execute_callbacks() runs them on complete timesteps in the order in which these were completed,
-until every producer has closed. Callbacks get one list of ArrayAt for each array of their registration;
-the cells stay in Spark until a callback asks for them.
+A Session is the analysis's side of the rendezvous: producers, in this process or any other, declare arrays
+and send chunks through the shared folder; the analysis registers callbacks, and execute_callbacks() runs
+them on complete timesteps in the order in which these were completed, until every producer has closed. The
+log is read as a stream, each chunk once, of which only metadata comes to the driver; it holds what is
+incomplete. Callbacks get one list of ArrayAt for each array of their registration; the cells stay in Spark,
+persisted while a window holds them, until a callback asks for them.
 """
 
 from __future__ import annotations
@@ -11,19 +13,22 @@ from __future__ import annotations
 import logging
 import threading
 import time
-from collections import deque
+import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshflow.functions import arrays as A
 from meshflow.model import ArraySpec, Window
 from meshflow.operators import assemble
-from meshflow.sources.chunk_log import ChunkLog, chunk_row
+from meshflow.sources.chunk_log import ChunkLog
+from meshflow.streaming.control import Folder, wait_until
 from meshflow.streaming.machine import TriggerMachine
+from meshflow.streaming.producer import Producer
 
 log = logging.getLogger(__name__)
 _sessions: dict[str, Session] = {}
@@ -54,15 +59,17 @@ def open_session(spark: SparkSession | str, root: str, n_producers: int = 1) ->
         return _sessions[root]
 
 
-@dataclass
+@dataclass(eq=False)
 class ArrayAt:
-    """One array at one timestep."""
+    """One array at one timestep, as it was completed: a resent timestep is another one."""
 
     log: ChunkLog
     name: str
     t: int
     spec: ArraySpec
     dtype: str
+    sent: dict[int, int]  # rank -> seq of its chunk
+    _pinned: DataFrame | None = field(default=None, repr=False)
 
     @property
     def timestep(self) -> int:
@@ -85,9 +92,17 @@ class ArrayAt:
         return "data_long" if np.dtype(self.dtype).kind in "iub" else "data"
 
     def chunks(self) -> DataFrame:
-        """Its chunks with block_index."""
-        newest = self.log.of(self.name, self.t).groupBy("array_name", "timestep", "rank").agg(F.max_by(F.struct("seq", "chunk_position", "shape", "dtype", "data", "data_long"), "seq").alias("c"))
-        return assemble.block_index(newest.select("array_name", "timestep", "rank", "c.*"))
+        """Its chunks with block_index; kept by the executors from first use on until no window holds the array."""
+        if self._pinned is None:
+            own = self.log.of(self.name, self.t).where(F.col("seq").between(min(self.sent.values()), max(self.sent.values())))
+            own = own.where(F.create_map(*(F.lit(x) for pair in self.sent.items() for x in pair))[F.col("rank")] == F.col("seq"))
+            self._pinned = assemble.block_index(own).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._pinned
+
+    def release(self) -> None:
+        if self._pinned is not None:
+            self._pinned.unpersist()
+            self._pinned = None
 
     def cells(self) -> DataFrame:
         """i0, i1, ..., value of each cell."""
@@ -99,111 +114,72 @@ class ArrayAt:
             return self.chunks().select(F.aggregate("data_long", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("s")).agg(F.sum("s")).first()[0]
         return A.reduce_all(self.chunks()).first()["total"]
 
-    def map_blocks(self, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        return A.map_blocks(self.chunks(), fn, self.spec.chunk_shape)
+    def map_blocks(self, fn: Callable[[np.ndarray], np.ndarray], to: str | None = None) -> DataFrame:
+        """Chunks with fn of each; cells stay of their type unless `to` is given."""
+        return A.map_blocks(self.chunks(), fn, self.spec.chunk_shape, self.column, to)
 
     def compute(self) -> np.ndarray:
         """On the driver, as numpy."""
-        return A.to_ndarray(self.cells(), self.shape).astype(self.dtype)
-
-
-class Producer:
-    """One rank. Chunks are written in batches of `buffer`, and at close()."""
-
-    def __init__(self, session: Session, rank: int, specs: Mapping[str, ArraySpec | Mapping], timeout: float = 10, wait_for_go: bool = True, buffer: int = 64):
-        self.session, self.rank, self.buffer, self.closed = session, rank, buffer, False
-        self.specs = {name: ArraySpec.of(s).validate(name) for name, s in specs.items()}
-        self._rows: list[tuple] = []
-        session._join(self)
-        if wait_for_go and not session.analysis_ready.wait(timeout):
-            raise TimeoutError("the analysis didn't get ready")
-
-    def send(self, array_name: str, chunk: np.ndarray, timestep: int, *, update_workers: bool = False, filter_workers: Callable[[dict], list[str]] | None = None) -> None:
-        """Appends a chunk. filter_workers must return a list of names from the mapping of logical partitions."""
-        if array_name not in self.specs:
-            raise ValueError(f"array {array_name} is unknown.")
-        spec = self.specs[array_name]
-        if filter_workers is not None:
-            chosen = filter_workers(dict(self.session.partitions()))
-            if not isinstance(chosen, list) or not chosen or not all(isinstance(x, str) for x in chosen):
-                raise TypeError("filter_workers returns a list of strings that isn't empty")
-        if tuple(np.shape(chunk)) != spec.chunk_shape:
-            raise ValueError(f"array {array_name}: a chunk of {np.shape(chunk)} instead of {spec.chunk_shape}")
-        self._rows.append(chunk_row(array_name, timestep, self.rank, self.session.next_seq(), spec.chunk_position, chunk))
-        if len(self._rows) >= self.buffer:
-            self.flush()
-
-    def flush(self) -> None:
-        rows, self._rows = self._rows, []
-        self.session.log.append(rows)
-
-    def get(self, key: str, timestep: int | None = None, default=None):
-        """Feedback of a key: all held (timestep, value) pairs, or the first of a timestep, or the default."""
-        held = list(self.session.feedback.get(key, ()))
-        if timestep is None:
-            return held
-        return next((v for t, v in held if t == timestep), default)
-
-    def close(self, timestep: int | None = None) -> None:
-        """Flushes and reports this rank done; further calls do nothing."""
-        if not self.closed:
-            self.closed = True
-            self.flush()
-            self.session._leave(self, timestep)
+        return A.to_ndarray(self.cells(), self.shape, dtype=self.dtype)
 
 
 class Session:
     def __init__(self, spark: SparkSession, root: str, n_producers: int = 1, max_feedback: int = 1024):
         self.spark, self.root, self.n_producers, self.max_feedback = spark, root, n_producers, max_feedback
-        self.log = ChunkLog(spark, f"{root}/chunks")
+        self.log, self.control = ChunkLog(spark, f"{root}/chunks"), Folder(root, "control")
+        self.errors: list[tuple[str, str, int | None, str]] = []
         self.specs: dict[str, ArraySpec] = {}
         self.ranks: dict[str, set[int]] = {}
-        self.feedback: dict[str, deque] = {}
-        self.errors: list[tuple[str, str, int | None, str]] = []
-        self.analysis_ready, self.all_joined = threading.Event(), threading.Event()
-        self.final_timestep: int | None = None
-        self._producers: dict[int, Producer] = {}
+        self._known: set[str] = set()
         self._first_rank: dict[str, int] = {}
-        self._left: set[int] = set()
-        self._seq, self._guard = 0, threading.Lock()
+        self._feedback = 0
 
     def producer(self, rank: int, specs: Mapping[str, ArraySpec | Mapping], **options) -> Producer:
-        return Producer(self, rank, specs, **options)
+        """A producer in this process."""
+        return Producer(self.root, rank, specs, **options)
 
     def analysis(self, timeout: float = 10, wait_for_producers: bool = True) -> Analysis:
-        self.analysis_ready.set()
-        if wait_for_producers and not self.all_joined.wait(timeout):
-            raise TimeoutError("not all producers joined")
+        self.announce()
+        if wait_for_producers:
+            wait_until(lambda: len(self.control.names("producer-")) >= self.n_producers, timeout, "not all producers joined")
+        self.join()
         return Analysis(self)
 
-    def next_seq(self) -> int:
-        with self._guard:
-            self._seq += 1
-            return self._seq
+    def announce(self, workers: Mapping[str, Mapping] | None = None) -> None:
+        """Tells producers that the analysis is ready, and the workers among which they place chunks."""
+        self.control.put("analysis", {"workers": workers or self.partitions()})
+
+    def join(self) -> None:
+        """Takes in the declarations of producers that have come; the smallest rank's holds."""
+        for name in self.control.names("producer-"):
+            if name in self._known:
+                continue
+            self._known.add(name)
+            rank = int(name.removeprefix("producer-"))
+            for array, shapes in self.control.get(name).items():
+                self.ranks.setdefault(array, set()).add(rank)
+                if rank <= self._first_rank.get(array, rank):
+                    self._first_rank[array], self.specs[array] = rank, ArraySpec(*map(tuple, shapes))
 
     def partitions(self) -> dict[str, dict]:
         return {f"partition-{i}": {} for i in range(self.spark.sparkContext.defaultParallelism)}
 
     def done(self) -> bool:
-        return len(self._left) >= self.n_producers
-
-    def _join(self, p: Producer) -> None:
-        with self._guard:
-            if p.rank in self._producers:
-                raise ValueError(f"rank {p.rank} has joined before")
-            self._producers[p.rank] = p
-            for name, spec in p.specs.items():  # the smallest rank's declaration holds
-                self.ranks.setdefault(name, set()).add(p.rank)
-                if p.rank <= self._first_rank.get(name, p.rank):
-                    self._first_rank[name], self.specs[name] = p.rank, spec
-            if len(self._producers) >= self.n_producers:
-                self.all_joined.set()
-
-    def _leave(self, p: Producer, timestep: int | None) -> None:
-        with self._guard:
-            self._left.add(p.rank)
-            if timestep is not None:
-                self.final_timestep = max(timestep, self.final_timestep or timestep)
+        return len(self.control.names("left-")) >= self.n_producers
+
+    @property
+    def final_timestep(self) -> int | None:
+        """The largest timestep that a producer has closed with."""
+        said = [self.control.get(n) for n in self.control.names("left-")]
+        return max((t for t in said if t is not None), default=None)
+
+    def set(self, key: str, value, timestep: int) -> None:
+        """Feedback for the producers; of a key the last max_feedback values are held."""
+        folder = Folder(self.root, f"feedback/{key.encode().hex()}")
+        self._feedback = max(self._feedback + 1, time.time_ns())
+        folder.put(f"{self._feedback:020}", [timestep, value])
+        for name in folder.names()[: -self.max_feedback]:
+            folder.drop(name)
 
 
 def _log_error(e: BaseException) -> None:
@@ -215,7 +191,9 @@ class Analysis:
         self.session = session
         self._callbacks: dict[str, tuple[Callable, TriggerMachine, Callable | None]] = {}
         self._next = 0
-        self._seen: set[tuple[str, int, int]] = set()
+        self._pending: dict[tuple[str, int], list[dict[int, tuple[int, str]]]] = {}
+        self._held: set[ArrayAt] = set()
+        self._progress = f"{session.root}/progress/{uuid.uuid4().hex}"
 
     def register(self, *arrays: str | Window, exception_handler: Callable | None = _log_error, when: str = "AND"):
         """Decorator of register_callback()."""
@@ -230,9 +208,10 @@ class Analysis:
         windows = [Window(a) if isinstance(a, str) else a for a in arrays]
         if when not in ("AND", "OR"):
             raise ValueError(f"when is AND or OR, not {when}")
+        self.session.join()
         for w in windows:
             if w.name not in self.session.specs:
-                raise ValueError(f"array {w.name} is unknown.")
+                raise ValueError(f"no producer declared the array {w.name}")
             if w.size < 1:
                 raise ValueError("a window holds at least one array")
         callback_id = f"callback_{self._next}"
@@ -251,43 +230,62 @@ class Analysis:
             del self._callbacks[k]
 
     def set(self, key: str, value, timestep: int) -> None:
-        self.session.feedback.setdefault(key, deque(maxlen=self.session.max_feedback)).append((timestep, value))
+        """Feedback that producers get()."""
+        self.session.set(key, value, timestep)
 
     def subscriptions(self) -> list[tuple[str, int, str, int, str]]:
         return [(k, i, n, m.size[n], m.when) for k, (_, m, _) in self._callbacks.items() for i, n in enumerate(m.order)]
 
+    def _writer(self):
+        chunks = self.session.log.stream().select("array_name", "timestep", "rank", "seq", "dtype")
+        return chunks.writeStream.foreachBatch(self._batch).option("checkpointLocation", self._progress)
+
     def execute_callbacks(self, poll: float = 0.2) -> None:
-        """Runs callbacks until all producers have closed and all complete timesteps are handled."""
-        while True:
-            done = self.session.done()
-            self.drain()
-            if done:
-                return
-            time.sleep(poll)
-
-    def drain(self) -> int:
-        """Handles the timesteps that are complete and new; only their metadata comes to the driver."""
+        """Runs callbacks as chunks come, until all producers have closed and all complete timesteps are handled."""
+        query = self._writer().trigger(processingTime=f"{int(poll * 1000)} milliseconds").start()
         try:
-            chunks = self.session.log.read()
-            found = chunks.groupBy("array_name", "timestep").agg(F.count_distinct("rank").alias("n_ranks"), F.max("seq").alias("seq"), F.min("dtype").alias("dtype"), F.max("dtype").alias("dtype_2")).orderBy("seq").collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-        handled = 0
-        for r in found:
-            event = (r.array_name, r.timestep, r.seq)
-            if event in self._seen or r.n_ranks < len(self.session.ranks.get(r.array_name, ())):
-                continue
-            self._seen.add(event)
-            spec = self.session.specs[r.array_name]
-            if r.n_ranks != spec.n_blocks or r.dtype != r.dtype_2:
-                self.session.errors.append(("tile", r.array_name, r.timestep, f"{r.n_ranks} chunks of {r.dtype}/{r.dtype_2} for a grid of {spec.grid}"))
-                log.error("array %s at %s can't be tiled", r.array_name, r.timestep)
-                continue
-            self._arrive(ArrayAt(self.session.log, r.array_name, r.timestep, spec, r.dtype))
-            handled += 1
-        return handled
+            while not self.session.done() and query.isActive:
+                query.awaitTermination(poll)
+            if query.isActive:
+                query.processAllAvailable()
+            elif query.exception():
+                raise query.exception()
+        finally:
+            query.stop()
+
+    def drain(self) -> None:
+        """Handles what has come since the last time."""
+        self._writer().trigger(availableNow=True).start().awaitTermination()
+
+    def _batch(self, chunks: DataFrame, number: int) -> None:
+        """Takes in a micro-batch's metadata, and handles what it completes."""
+        self.session.join()
+        for r in sorted(chunks.collect(), key=lambda r: r.seq):
+            open_ = self._pending.setdefault((r.array_name, r.timestep), [])
+            # the first occurrence of the timestep that lacks this rank's chunk
+            occurrence = next((o for o in open_ if r["rank"] not in o), None)
+            if occurrence is None:
+                open_.append(occurrence := {})
+            occurrence[r["rank"]] = (r.seq, r.dtype)
+            if set(occurrence) >= self.session.ranks.get(r.array_name, {None}):
+                open_.remove(occurrence)
+                if not open_:
+                    del self._pending[r.array_name, r.timestep]
+                self._complete(r.array_name, r.timestep, occurrence)
+
+    def _complete(self, name: str, t: int, chunks: dict[int, tuple[int, str]]) -> None:
+        spec, kinds = self.session.specs[name], sorted({k for _, k in chunks.values()})
+        if len(chunks) != spec.n_blocks or len(kinds) > 1:
+            self.session.errors.append(("tile", name, t, f"{len(chunks)} chunks of {'/'.join(kinds)} for a grid of {spec.grid}"))
+            log.error("array %s at %s can't be tiled", name, t)
+            return
+        array = ArrayAt(self.session.log, name, t, spec, kinds[0], {rank: seq for rank, (seq, _) in chunks.items()})
+        self._held.add(array)
+        self._arrive(array)
+        windows = {a for _, m, _ in self._callbacks.values() for w in m.window.values() for a in w}
+        for old in self._held - windows:
+            old.release()
+        self._held &= windows
 
     def _arrive(self, array: ArrayAt) -> None:
         for callback_id, (callback, machine, handler) in list(self._callbacks.items()):
@@ -310,8 +308,13 @@ class Analysis:
                         self._callbacks.pop(callback_id, None)
 
     def close(self) -> None:
-        """Forgets callbacks and windows."""
+        """Forgets callbacks, windows and the rendezvous; the log stays."""
         self._callbacks.clear()
+        for array in self._held:
+            array.release()
+        self._held.clear()
+        self.session.control.clear()
+        Folder(self._progress).clear()
         with _lock:
             _sessions.pop(self.session.root, None)
 

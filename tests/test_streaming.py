@@ -1,6 +1,11 @@
 """Firing rule, sessions, callbacks, error policy and the stateful operator."""
 
+import os
 import random
+import subprocess
+import sys
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +13,7 @@ import pytest
 from meshflow.model import Window
 from meshflow.streaming.firing import SUBSCRIPTIONS, fire, with_state_store
 from meshflow.streaming.machine import TriggerMachine
+from meshflow.streaming.producer import Producer
 from meshflow.streaming.run import run_once
 from meshflow.streaming.session import Session, get_session, missing_report, open_session
 
@@ -138,3 +144,179 @@ def test_connections(spark, tmp_path):
         with pytest.raises(ValueError):
             get_session(bad)
     assert open_session(spark, str(tmp_path)) is open_session(spark, str(tmp_path))
+
+
+def test_resent_timesteps_are_occurrences(spark, tmp_path):
+    session = Session(spark, str(tmp_path), 2)
+    producers = [session.producer(r, {"x": spec((r,), (4,), (2,))}, wait_for_go=False, buffer=1) for r in range(2)]
+    analysis = session.analysis()
+    fired = []
+    analysis.register_callback(lambda x: fired.append([a.compute().tolist() for a in x]), Window("x", 2))
+
+    def both(value, ranks=(0, 1)):
+        for r in ranks:
+            producers[r].send("x", np.full(2, value), 1)
+
+    both(1.0)
+    analysis.drain()
+    both(2.0, [0])
+    analysis.drain()
+    assert fired == [[[1.0] * 4]]
+    both(2.0, [1])
+    both(3.0)
+    for p in producers:
+        p.close()
+    analysis.execute_callbacks()
+    assert fired == [[[1.0] * 4], [[1.0] * 4, [2.0] * 4], [[2.0] * 4, [3.0] * 4]]
+    assert not analysis._pending
+
+
+@pytest.mark.parametrize("dtype", ["int64", "int32", "uint8", "float32", "float64"])
+def test_cells_keep_their_type(spark, tmp_path, dtype):
+    session = Session(spark, str(tmp_path), 1)
+    x = np.array([[1_700_000_000_123_456_789 if dtype == "int64" else 7, 2], [3, 4]]).astype(dtype)
+    p = session.producer(0, {"x": spec((0, 0), (2, 2), (2, 2))}, wait_for_go=False)
+    analysis = session.analysis()
+    seen = []
+
+    def look(a):
+        doubled = a[0].map_blocks(lambda b: b * 2).first()[a[0].column]
+        halves = a[0].map_blocks(lambda b: b / 4, "double").first()[a[0].column]
+        seen.append((a[0].compute(), a[0].sum(), doubled, halves))
+
+    analysis.register_callback(look, "x")
+    p.send("x", x, 0)
+    p.close()
+    analysis.execute_callbacks()
+    assert not session.errors
+    got, total, doubled, halves = seen[0]
+    assert got.dtype == x.dtype and np.array_equal(got, x) and total == x.sum()
+    assert doubled == (x.astype(float if x.dtype.kind == "f" else "int64").ravel() * 2).tolist() and halves == (x.ravel() / 4).tolist()
+
+
+PRODUCER = """
+import sys, time
+import numpy as np
+sys.path.insert(0, {repo!r})
+from meshflow.streaming.producer import Producer
+rank = int(sys.argv[2])
+p = Producer(sys.argv[1], rank, {{"x": {{"global_shape": (4, 2), "chunk_shape": (2, 2), "chunk_position": (rank, 0)}}}}, timeout=60)
+for t in range(3):
+    p.send("x", np.full((2, 2), 10 * t + rank), t)
+    p.flush()
+until = time.time() + 60
+while p.get("total", 2) is None and time.time() < until:
+    time.sleep(0.1)
+print(p.get("total"))
+p.close(2)
+"""
+
+
+def test_producers_in_other_processes(spark, tmp_path):
+    session = Session(spark, str(tmp_path), 2)
+    code = PRODUCER.format(repo=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    running = [subprocess.Popen([sys.executable, "-c", code, str(tmp_path), str(r)], stdout=subprocess.PIPE, text=True) for r in range(2)]
+    analysis = session.analysis(timeout=60)
+    analysis.register_callback(lambda x: analysis.set("total", x[0].sum(), x[0].t), "x")
+    analysis.execute_callbacks()
+    said = [p.communicate(timeout=60)[0].strip() for p in running]
+    assert said == ["[(0, 4), (1, 84), (2, 164)]"] * 2 and session.final_timestep == 2 and not session.errors
+
+
+@pytest.mark.parametrize("first", ["analysis", "producer"])
+def test_handshake_in_both_orders(spark, tmp_path, first):
+    session, said = Session(spark, str(tmp_path), 1), []
+
+    def produce():
+        p = Producer(str(tmp_path), 0, {"x": spec()})
+        said.append("producer went")
+        p.close(5)
+
+    other = threading.Thread(target=produce)
+    if first == "producer":
+        other.start()
+        time.sleep(0.3)
+        assert not said
+        analysis = session.analysis()
+    else:
+        threading.Timer(0.3, other.start).start()
+        analysis = session.analysis()
+    analysis.execute_callbacks()
+    other.join(10)
+    assert said and session.final_timestep == 5 and session.specs["x"].n_blocks == 1
+
+
+def test_handshake_times_out(spark, tmp_path):
+    with pytest.raises(TimeoutError):
+        Producer(str(tmp_path), 0, {"x": spec()}, timeout=0.1)
+    with pytest.raises(ValueError):
+        Producer(str(tmp_path), 0, {"x": spec()}, wait_for_go=False)
+    with pytest.raises(TimeoutError):
+        Session(spark, str(tmp_path), 2).analysis(timeout=0.1)
+
+
+def test_workers_are_chosen_refreshed_and_filtered(spark, tmp_path):
+    session = Session(spark, str(tmp_path), 1)
+    p = session.producer(1, {"x": spec()}, wait_for_go=False)
+    session.announce({n: {"rack": n[0]} for n in ("b1", "a1", "a2")})
+    session.join()
+    for t in range(3):
+        p.send("x", np.ones(8), t)
+    p.send("x", np.ones(8), 3, filter_workers=lambda w: [n for n in w if w[n]["rack"] == "a"])
+    session.announce({"c1": {}})
+    p.send("x", np.ones(8), 4)
+    p.send("x", np.ones(8), 5, update_workers=True)
+    with pytest.raises(ValueError):
+        p.send("x", np.ones(8), 6, filter_workers=lambda w: ["gone"])
+    p.close()
+    got = [r.worker for r in session.log.read().orderBy("timestep").collect()]
+    assert got == ["a2", "b1", "a1", "a1", "b1", "c1"]
+
+
+def test_arrays_are_pinned_while_a_window_holds_them(spark, tmp_path):
+    session = Session(spark, str(tmp_path), 1)
+    p = session.producer(0, {"x": spec()}, wait_for_go=False)
+    analysis = session.analysis()
+    arrays, cached = [], []
+
+    def look(x):
+        x[-1].sum()
+        arrays.append(x[-1])
+        cached.append([a.chunks().is_cached for a in x])
+
+    analysis.register_callback(look, Window("x", 2))
+    for t in range(4):
+        p.send("x", np.ones(8), t)
+    p.close()
+    analysis.execute_callbacks()
+    assert cached == [[True], [True, True], [True, True], [True, True]]
+    assert [a._pinned is None for a in arrays] == [True, True, False, False]
+    analysis.close()
+    assert all(a._pinned is None for a in arrays)
+
+
+def test_feedback_is_bounded(spark, tmp_path):
+    session = Session(spark, str(tmp_path), 1, max_feedback=3)
+    p = session.producer(0, {"x": spec()}, wait_for_go=False)
+    analysis = session.analysis()
+    for t in range(5):
+        analysis.set("a/b", np.arange(t), t)
+        assert p.get("a/b", t) == list(range(t))
+    assert p.get("a/b") == [(2, [0, 1]), (3, [0, 1, 2]), (4, [0, 1, 2, 3])] and p.get("other") == []
+    with pytest.raises(TypeError):
+        analysis.set("a", object(), 1)
+
+
+def test_names_of_any_kind(spark, tmp_path):
+    session = Session(spark, str(tmp_path), 1)
+    names = ["a/b=c", "50 %+é", "3"]
+    p = session.producer(0, {n: spec() for n in names}, wait_for_go=False)
+    analysis = session.analysis()
+    seen = []
+    for n in names:
+        analysis.register_callback(lambda x: seen.append((x[0].name, x[0].sum())), n)
+    for k, n in enumerate(names):
+        p.send(n, np.full(8, k), 0)
+    p.close()
+    analysis.execute_callbacks()
+    assert sorted(seen) == sorted((n, 8 * k) for k, n in enumerate(names)) and not session.errors
