@@ -7,6 +7,7 @@ one text longer than the bound forms a slab of its own, as texts are never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a slab.
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
+
+#: Words of more bytes are hashed by BLAKE2.
+LONG_WORD = 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -104,6 +108,33 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words. Long ones take a cryptographic hash: rolling hashes modulo 2**64 have known collisions there."""
+    h = range_hash(prefix_hash(low), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word. A slab of one very long text is read in pieces that end between words."""
+    if len(offsets) > 2 or len(data) <= 2 * SLAB_BYTES:
+        low, starts, ends, row = words(data, offsets)
+        return word_hashes(low, starts, ends), row
+    out, first = [], 0
+    while first < len(data):
+        last = min(len(data), first + SLAB_BYTES)
+        while last < len(data) and _WORD[_LOWER[data[last]]]:
+            more = np.flatnonzero(~_WORD[_LOWER[data[last : last + 4096]]])
+            last = last + int(more[0]) if len(more) else min(len(data), last + 4096)
+        piece = data[first:last]
+        low, starts, ends, _ = words(piece, np.array([0, len(piece)]))
+        out.append(word_hashes(low, starts, ends))
+        first = last
+    h = np.concatenate(out)
+    return h, np.zeros(len(h), np.int64)
+
+
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... (count[0] of them), start[1], ..."""
     count = count.astype(np.int64)
