@@ -11,17 +11,20 @@ id. All such strings are found, and none else:
    sends each distinct segment once, with the smallest id that has it, to the shard of its anchor.
    Anchors that more than HOT_BLOCKS blocks share are refined: a string reaches 15 bytes beyond the
    anchor to the left, or else to the right, and goes to the shard of the anchor with those bytes.
-3. A shard builds the suffix array of its segments. Neighbours in it that share WINDOW bytes or more are
-   the matches; the rows of each position are met by streaming the segments backwards through the
-   run-compressed Burrows-Wheeler transform, though the suffix array has them too. The smallest id among a match's holders is sent back to the blocks.
+3. A shard builds the run-compressed Burrows-Wheeler transform of its segments, with samples at run ends
+   (RunIndex). Each segment is streamed backwards through it, which gives the matching statistics: how far
+   each position matches another one, and for matches of WINDOW bytes or more the smallest id among their
+   holders, which is sent back to the blocks.
 4. Blocks mark what is covered, judged on the input, and cut it out.
 
-What a shard gets from a group of copies is one segment from each block, whatever the group's size.
+What a shard gets from a group of copies is one segment from each block, whatever the group's size. The
+numbers of buckets, shards and partitions follow the input, so that tasks don't grow with it.
 
 Defined results: null and empty texts have no bytes and lose none; rows with the same id don't count
-against each other; a null id counts as larger than all. Texts shorter than WINDOW bytes stay. Cutting
-bytes can split characters: remove_repeats() drops what is left of a split character. Empty tables give
-an empty result. Other columns stay as they are, whatever their names.
+against each other; a null id counts as larger than all. Texts shorter than WINDOW bytes stay. Repeated
+rows each give a row; ties (equal texts) are settled by id. A very long text is a block of its own, read
+as one slab. Cutting bytes can split characters: remove_repeats() drops what is left of a split character.
+Empty tables give an empty result. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,95 +88,127 @@ def _least(h: np.ndarray, tie: np.ndarray, span: int) -> np.ndarray:
 
 
 class RunIndex:
-    """Run-compressed BWT of several byte strings, with suffix array samples at run ends.
-
-    Suffixes end with their string; equal ones are ordered by string, as if each string had an end
-    mark of its own. Bytes must be below 255, which holds for UTF-8.
+    """Run-compressed BWT of byte strings with samples at run ends; the suffix array exists only while it is built.
+
+    A row stands for a suffix. Suffixes end with their string; equal ones are ordered by string, as if each
+    had an end mark of its own. `ids` are the strings' holders. What is kept for each run of equal preceding
+    characters (0: the suffix is a whole string): its first row, that row's LF, and the samples at its ends: how
+    much the LF of its first row shares with the row above, and that of its last row with the row below; inside
+    a run both lengths grow by one from a row to its LF. Besides, the first row and the smallest holder of each
+    set of two rows or more that share `window` bytes, of which there are as many as different strings of
+    `window` bytes that occur again, however often they do.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, window: int = WINDOW):
         n = len(data)
-        self.offsets, self.window = offsets, window
-        size = np.diff(offsets)
-        self.room = np.repeat(offsets[1:], size) - np.arange(n)  # bytes up to the end of the string
+        self.n, self.window, self.size = n, window, np.diff(offsets)
+        room = np.repeat(offsets[1:], self.size) - np.arange(n)  # bytes up to the end of the string
         char = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
         key = np.zeros(n, np.uint64)
         for k in range(5):
-            key = key << np.uint64(8) | np.where(self.room > k, char[k : k + n], np.uint64(0))
+            key = key << np.uint64(8) | np.where(room > k, char[k : k + n], np.uint64(0))
         bits = (n + 2).bit_length()
         rank, order = _rank(key, 40, bits)
-        step, longest = 5, int(size.max(initial=0))
-        self.prefix, self.depth = rank, step  # equal ranks share `depth` bytes
+        step, longest = 5, int(self.size.max(initial=0))
+        ranks = [(step, rank.astype(np.int32))]  # equal ranks share that many bytes, or end together
         while step < longest:
             ahead = np.zeros(n, np.uint64)
-            ahead[:-step] = np.where(self.room[:-step] > step, rank[step:] + 1, 0)
+            ahead[:-step] = np.where(room[:-step] > step, rank[step:] + 1, 0)
             rank, order = _rank(rank.astype(np.uint64) << np.uint64(bits) | ahead, 2 * bits, bits)
             step *= 2
-            if step <= window:
-                self.prefix, self.depth = rank, step
-        head = self.room[order] == np.repeat(size, size)[order]
-        before = np.where(head, 0, char[np.maximum(order, 1) - 1].astype(np.int64))
-        first = np.ones(n, bool)
-        first[1:] = before[1:] != before[:-1]
-        self.run = np.flatnonzero(first)  # first row of each run
-        self.run_char = before[self.run]
-        ends = np.append(self.run[1:], n) - 1
-        self.sample = order[ends] if n else order  # text position at each run end
-        # the row of (first character of suffix) c is after all suffixes that start with a smaller one
-        count = np.bincount(char[:n].astype(np.int64), minlength=258)
-        last = char[offsets[1:][size > 0] - 1].astype(np.int64)  # they stand before the end marks, which have no rows
-        start = np.cumsum(count) - count + np.bincount(last, minlength=258)
-        by_char = np.argsort(self.run_char, kind="stable")
-        length = (ends - self.run + 1)[by_char]
-        c = self.run_char[by_char]
+            ranks.append((step, rank.astype(np.int32)))
+
+        def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Bytes that the suffixes at a and b share."""
+            most = np.minimum(room[a], room[b])
+            out = np.zeros(len(a), np.int64)
+            for depth, level in reversed(ranks):
+                on = np.flatnonzero(out < most)
+                same = level[a[on] + out[on]] == level[b[on] + out[on]]
+                out[on[same]] = np.minimum(out[on[same]] + depth, most[on[same]])
+            for _ in range(4):
+                on = np.flatnonzero(out < most)
+                same = data[a[on] + out[on]] == data[b[on] + out[on]]
+                out[on[same]] += 1
+            return out
+
+        # classes: neighbours that share `window` bytes, told by the two ranks that cover these
+        depth, level = max((x for x in ranks if x[0] <= window), default=(0, None), key=lambda x: x[0])
+        above, below = order[:-1], order[1:]
+        alike = np.flatnonzero((room[above] >= window) & (room[below] >= window))
+        reach = 0
+        while depth and reach < window:
+            reach = min(reach, window - depth)
+            alike = alike[level[above[alike] + reach] == level[below[alike] + reach]]
+            reach += depth
+        if not depth:
+            alike = alike[shared(above[alike], below[alike]) >= window]
+        head = np.ones(n, bool)
+        head[alike + 1] = False
+        begin = np.flatnonzero(head)
+        least = np.minimum.reduceat(np.repeat(ids, self.size)[order], begin) if n else ids[:0]
+        several = np.diff(np.append(begin, n)) > 1
+        self.match, self.least = begin[several], least[several]
+
+        whole = room[order] == np.repeat(self.size, self.size)[order]
+        before = np.where(whole, 0, char[np.maximum(order, 1) - 1].astype(np.int64))
+        fresh = np.ones(n, bool)
+        fresh[1:] = before[1:] != before[:-1]
+        self.run = np.flatnonzero(fresh)
+        self.end = np.append(self.run[1:], n) - 1
+        self.char = before[self.run].astype(np.int16)
+
+        # rows that start with c: first the suffixes of one character, by string, then the others by the row they precede
+        first = char[:n].astype(np.int64)
+        count = np.bincount(first, minlength=258)
+        last = first[offsets[1:][self.size > 0] - 1]
+        start, alone = np.cumsum(count) - count, np.bincount(last, minlength=258)
+        nth = np.zeros(len(last), np.int64)
+        by = np.argsort(last, kind="stable")
+        nth[by] = ranges(np.zeros(258, np.int64), alone)
+        self.entry = np.zeros((3, len(self.size)), np.int64)  # of each string's last character: row, shared above and below
+        self.entry[:, self.size > 0] = start[last] + nth, nth > 0, nth + 1 < count[last]
+        by = np.argsort(self.char, kind="stable")
+        length, c = (self.end - self.run + 1)[by], self.char[by].astype(np.int64)
         done = np.cumsum(length) - length
         base = np.zeros(258, np.int64)
-        fresh = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        base[c[fresh]] = done[fresh]
+        heads = np.flatnonzero(np.diff(c, prepend=-1))
+        base[c[heads]] = done[heads]
         self.lf = np.zeros(len(self.run), np.int64)
-        self.lf[by_char] = start[c] + done - base[c]
-        self.order = order
-        self.n = n
-
-    def step(self, row: np.ndarray) -> np.ndarray:
-        """Rows of the suffixes that are one character longer."""
-        run = np.searchsorted(self.run, row, "right") - 1
-        return self.lf[run] + row - self.run[run]
-
-    def steps(self) -> np.ndarray:
-        """step() of every row."""
-        length = np.diff(np.append(self.run, self.n))
-        return np.repeat(self.lf - self.run, length) + np.arange(self.n)
-
-    def classes(self) -> np.ndarray:
-        """A number for each row; rows with equal numbers are neighbours that share `window` bytes or more."""
-        window = self.window
-        a, b = self.order[:-1], self.order[1:]
-        same = (self.room[a] >= window) & (self.room[b] >= window) & (self.prefix[a] == self.prefix[b])
-        if window > self.depth:  # the last `depth` bytes too; both together are the whole
-            far = np.flatnonzero(same)
-            k = window - self.depth
-            same[far] = self.prefix[a[far] + k] == self.prefix[b[far] + k]
-        out = np.zeros(self.n, np.int64)
-        out[1:] = np.cumsum(~same)
-        return out
-
-    def stream(self) -> np.ndarray:
-        """The row of every text position, met by walking all strings backwards at once."""
-        rows = np.zeros(self.n, np.int64)
-        size = np.diff(self.offsets)
-        order = np.argsort(-size, kind="stable")
-        place = np.empty(self.n, np.int64)
-        place[self.order] = np.arange(self.n)
-        last = self.offsets[1:][order] - 1
-        onward = self.steps()
-        row = place[last[size[order] > 0]]  # where each string's last character stands alone
-        for k in range(int(size.max(initial=0))):
-            live = int((size > k).sum())
-            if k:
-                row = onward[row[:live]]
-            rows[last[:live] - k] = row
-        return rows
+        self.lf[by] = (start + alone)[c] + done - base[c]
+        self.up, self.down = np.zeros(len(self.run), np.int64), np.zeros(len(self.run), np.int64)
+        k = np.flatnonzero((self.char > 0) & (self.lf > 0))
+        self.up[k] = shared(order[self.lf[k] - 1], order[self.lf[k]])
+        # the LFs of the runs of one character follow each other; below the last of them another character begins
+        self.down[by[:-1]] = np.where(c[1:] == c[:-1], self.up[by[1:]], 0)
+        for name in ("run", "end", "lf", "up", "down", "match"):
+            setattr(self, name, getattr(self, name).astype(np.int32 if n < 1 << 31 else np.int64))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each position of the strings, one after the other: bytes that it shares with another position at most,
+        and the smallest holder of the `window` bytes from it, if these are shared (else _LAST_ID)."""
+        length, holder = np.zeros(self.n, np.int64), np.full(self.n, _LAST_ID)
+        offsets = np.cumsum(self.size)
+        order = np.argsort(-self.size, kind="stable")
+        row, up, down = (x[order].astype(self.run.dtype) for x in self.entry)
+        last = offsets[order] - 1
+        sizes = -self.size[order]
+        for k in range(int(self.size.max(initial=0))):
+            live = int(np.searchsorted(sizes, -k, "left"))  # strings longer than k
+            row, up, down = row[:live], up[:live], down[:live]
+            at = last[:live] - k
+            length[at] = np.maximum(up, down)
+            some = np.flatnonzero(length[at] >= self.window)
+            holder[at[some]] = self.least[np.searchsorted(self.match, row[some], "right") - 1]
+            run = np.searchsorted(self.run, row, "right") - 1
+            first, end = row == self.run[run], row == self.end[run]
+            up, down = np.where(first, self.up[run], up + 1), np.where(end, self.down[run], down + 1)
+            row = self.lf[run] + (row - self.run[run])
+        return length, holder
 
 
 def _rank(key: np.ndarray, key_bits: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,13 +228,10 @@ def _rank(key: np.ndarray, key_bits: int, bits: int) -> tuple[np.ndarray, np.nda
 
 def smallest_holders(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each position the smallest id of a string that has the `window` bytes from there (max: too short)."""
-    index = RunIndex(data, offsets, window)
-    of = np.repeat(ids, np.diff(offsets))
-    cls = index.classes()
-    first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if index.n else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(of[index.order], first) if index.n else of
-    out = least[cls[index.stream()]] if index.n else of
-    return np.where(index.room >= window, out, _LAST_ID)
+    length, holder = RunIndex(data, offsets, ids, window).matching_statistics()
+    size = np.diff(offsets)
+    room = np.repeat(offsets[1:], size) - np.arange(len(data))
+    return np.where(room < window, _LAST_ID, np.where(length >= window, holder, np.repeat(ids, size)))
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -240,9 +272,9 @@ def _swell(packed: bytes) -> bytes:
 
 
 def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with cut, also all columns as struct `row` and the kept text.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with cut, also the struct `row` and the kept text.
 
-    docs: doc_id, text and, with cut, row.
+    docs: doc_id, text and, with cut, row, which has the other columns.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -251,8 +283,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
     bits = max(6, int(total // 16 // BUCKET_KEYS).bit_length())
     shards = 2 * blocks
     block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), F.lit(0)).cast("int")
-    held = docs.withColumn("block", block).repartition(partitions, "block")
-    texts = held.select("block", "doc_id", "text")
+    held = docs.select(block.alias("block"), "doc_id", "text", *(["row"] if cut else [])).repartition(partitions, "block")
 
     def split_key(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(64 - bits)).astype(np.int64), ((h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -276,7 +307,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         number = table.column("block")[0].as_py()
         return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array([number] * len(some), pa.int32()), "keys": pa.array([np.sort(low[cuts[b] : cuts[b + 1]]).tobytes() for b in some], pa.binary())})
 
-    keys = texts.groupBy("block").applyInArrow(keys_of_block, "bucket int, block int, keys binary")
+    keys = held.groupBy("block").applyInArrow(keys_of_block, "bucket int, block int, keys binary").repartition(max(partitions, 1 << bits), "bucket")
 
     def repeated_keys(table: pa.Table) -> pa.Table:
         cells = [np.frombuffer(c.as_py(), np.uint32) for c in table.column("keys")]
@@ -374,7 +405,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
             rows[name].append(x)
         return pa.table(rows, empty.schema)
 
-    asked = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(segments_of_block, asked_schema)
+    asked = held.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(segments_of_block, asked_schema).repartition(max(partitions, shards // 2), "shard")
 
     answer_schema = pa.schema([("block", pa.int32()), ("base", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
 
@@ -464,13 +495,13 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
     schema = f"doc_id {key}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     if cut:
         schema += f", row {docs.schema['row'].dataType.simpleString()}, kept string"
-    whole = held if cut else texts
-    return whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut_block, schema)
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut_block, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their columns, without repeated strings in `text`."""
-    marked = mark_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), cut=True)
+    others = [c for c in docs.columns if c != "text"]
+    marked = mark_repeats(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")), cut=True)
     return marked.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
