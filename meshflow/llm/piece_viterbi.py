@@ -1,25 +1,31 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
-The lattice has a state for each boundary and last piece. For a BPE model a transition from piece u to
-piece t scores 0 where encoding u + t alone gives [u, t], and minus infinity elsewhere, so that the
-best path is the model's own encoding and every boundary keeps one surviving back pointer. Models of
-other kinds (unigram, word, char) are refused. Only the boundaries within one maximum piece length can
-still be reached from what follows: StreamingViterbi holds that window, and commits ids as soon as the
-paths of all boundaries in it meet in one boundary. Words that fit into twice that length, where nothing
-is committed before the end, are encoded whole by the same rule (PrefixEncoder).
+The lattice has a boundary after each character; a transition is a piece of the vocabulary, or a single
+character outside it. For a unigram model its score is the piece's log probability, and the path with the
+largest sum wins, the earlier start among equals, as sums of single precision like the library's. For a
+BPE model a transition from piece u to piece t scores 0 where encoding u + t alone gives [u, t], and minus
+infinity elsewhere, which makes the best path the model's own encoding. Models of other kinds are refused.
 
-Words (a run of word marks and what follows it) are cut where no piece of the vocabulary can span;
-all paths meet there. Words of up to 64 characters are memoised.
+StreamingViterbi reads a text in chunks. It holds a window: pieces that start more than one maximum piece
+length before its end are all known, so that it advances to there, and whatever is still to come can only
+start at the boundaries from there on. As soon as the paths of all of these meet in one boundary, the pieces
+before it are committed, and the window starts anew at that boundary. Every text and word goes this way.
+
+For BPE, words (a run of word marks and what follows it), and these between two characters that stand side by
+side in no piece, are cut, as no piece can span there and all paths meet; words and parts of up to 64
+characters are remembered with their ids, which repeat the result of the same part.
 
 Defined results: null and empty texts have no ids, and decode to an empty text. Characters that the
-vocabulary lacks become byte pieces (or the unknown id, for models without them). Repeated rows give
-repeated rows, empty tables an empty result; other columns are not read.
+vocabulary lacks become byte pieces, or for models without them a run of such characters becomes the unknown
+id. Very long texts and words are streamed as any other. Repeated rows give repeated rows, empty tables an
+empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from math import inf
@@ -35,34 +41,84 @@ MARK = "▁"
 
 
 class StreamingViterbi:
-    """Feeds on characters and yields pieces once no later character can change them."""
-
-    def __init__(self, encoder: PrefixEncoder):
-        self.encoder, self.reach = encoder, encoder.longest
-
-    def pieces(self, text: Iterable[str]) -> Iterator[str]:
-        window, last, reach = "", [-1], self.reach  # last[i]: number of the last piece up to boundary i of the window
-        for c in text:
-            window += c
-            i = len(window)
-            last.append(self._step(window, last, i))
-            if i >= 2 * reach and (cut := self._meet(last, i - reach + 1)):
-                yield from self._trace(last, cut)
-                window, last = window[cut:], last[cut:]
+    """Feeds on chunks of text and yields pieces once nothing later can change them."""
+
+    def __init__(self, encoder: PrefixEncoder, scores: list[float] | None = None):
+        """scores: of the encoder's pieces, and last that of a character outside the vocabulary; None for BPE."""
+        self.encoder, self.reach, self.scores = encoder, encoder.longest, scores
+        self.widest = 0  # window at its largest
+
+    def pieces(self, text: str | Iterable[str]) -> Iterator[str]:
+        reach, advance = self.reach, self._advance if self.scores is None else self._advance_scored
+        chunks = (text[k : k + reach] for k in range(0, len(text), reach)) if isinstance(text, str) else text
+        window, last, best, j, looked = "", [-1], [0.0], 0, 0  # last[i]: the last piece up to boundary i of the window
+        for chunk in chunks:
+            window += chunk
+            last += [-1] * len(chunk)
+            best += [0.0] * len(chunk)
+            if len(window) - reach > j:
+                j = advance(window, last, best, j, len(window) - reach)
+            if j - looked >= reach:
+                self.widest = max(self.widest, len(window))
+                cut = self._meet(last, j)
+                if cut:
+                    yield from self._trace(last, cut)
+                    window, last, best, j = window[cut:], last[cut:], best[cut:], j - cut
+                looked = j
+        advance(window, last, best, j, len(window))
         yield from self._trace(last, len(window))
 
-    def _step(self, window: str, last: list[int], i: int) -> int:
-        """The one piece that ends at boundary i and agrees with what stands before it."""
-        e = self.encoder
-        for j in range(max(0, i - self.reach), i):
-            t = e.number.get(window[j:i])
-            if t is not None and (last[j] < 0 or e.agree(last[j], t)):
-                return t
-        return e.add(window[i - 1 : i])
-
-    def _meet(self, last: list[int], first: int) -> int:
-        """The last boundary on the paths of all boundaries from `first` on (0: none yet)."""
-        alive = set(range(first, len(last)))
+    def _advance(self, window: str, last: list[int], best: list[float], j: int, stop: int) -> int:
+        """Every prefix has one admissible path; its last piece is the one that agrees with what stands before it."""
+        e, n = self.encoder, len(window)
+        root, agreed, agree = e.root, e.agreed.get, e.agree
+        while j < stop:
+            u, node, i = last[j], root, j
+            high = u << 21
+            while i < n:
+                found = node.get(window[i])
+                if found is None:
+                    break
+                i += 1
+                t, node = found
+                if t >= 0 and last[i] < 0:
+                    if u >= 0:
+                        ok = agreed(high | t)
+                        if ok is None:
+                            ok = agree(u, t)
+                        if not ok:
+                            continue
+                    last[i] = t
+            if i == j:
+                last[j + 1] = e.add(window[j : j + 1])
+            j += 1
+        return j
+
+    def _advance_scored(self, window: str, last: list[int], best: list[float], j: int, stop: int) -> int:
+        e, n, scores = self.encoder, len(window), self.scores
+        while j < stop:
+            node, i, here, single = e.root, j, best[j], False
+            while i < n:
+                found = node.get(window[i])
+                if found is None:
+                    break
+                i += 1
+                t, node = found
+                if t >= 0:
+                    single |= i == j + 1
+                    s = _single(here + scores[min(t, len(scores) - 1)])
+                    if last[i] < 0 or s > best[i]:
+                        last[i], best[i] = t, s
+            if not single:
+                t, s = e.add(window[j : j + 1]), _single(here + scores[-1])
+                if last[j + 1] < 0 or s > best[j + 1]:
+                    last[j + 1], best[j + 1] = t, s
+            j += 1
+        return j
+
+    def _meet(self, last: list[int], j: int) -> int:
+        """The last boundary on the paths of boundary j and of all later ones that are reached (0: none yet)."""
+        alive = {j, *(i for i in range(j + 1, len(last)) if last[i] >= 0)}
         while len(alive) > 1:
             top = max(alive)
             alive.remove(top)
@@ -77,6 +133,14 @@ class StreamingViterbi:
         return out[::-1]
 
 
+def _single(x: float) -> float:
+    """Rounded to single precision."""
+    return _FLOAT.unpack(_FLOAT.pack(x))[0]
+
+
+_FLOAT = struct.Struct("<f")
+
+
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Numbers and values of a protocol buffer message's fields."""
     at = 0
@@ -100,22 +164,31 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-def is_bpe(model: bytes) -> bool:
-    """Whether the trainer spec (field 2) of a serialized model has model type (field 3) BPE; the default is unigram."""
-    kind = 1
+UNIGRAM, BPE = 1, 2
+_UNKNOWN_PENALTY = 10.0  # fixed value: below the least score of a piece
+_USER_DEFINED = 4
+
+
+def kind_of(model: bytes) -> int:
+    """Model type (field 3 of the trainer spec, field 2) of a serialized model; the default is unigram."""
+    kind = UNIGRAM
     for number, spec in _fields(model):
         if number == 2:
             kind = dict(_fields(spec)).get(3, kind)
-    return kind == 2
+    return kind
 
 
 class PieceModel:
-    """Encodes and decodes as the library does for a BPE model with an identity normaliser."""
+    """Encodes and decodes as the library does for a unigram or BPE model with an identity normaliser."""
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        if not is_bpe(sp.serialized_model_proto()):
-            raise ValueError("only BPE models are handled")
+        proto = sp.serialized_model_proto()
+        self.kind = kind_of(proto)
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError("only unigram and BPE models are handled")
+        if any(number == 1 and dict(_fields(piece)).get(3) == _USER_DEFINED for number, piece in _fields(proto)):
+            raise ValueError("models with user-defined pieces are not handled")
         size = sp.get_piece_size()
         self.names = [sp.id_to_piece(i) for i in range(size)]
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(self.names) if sp.is_byte(i)}
@@ -127,18 +200,22 @@ class PieceModel:
         self.id = {self.names[i]: i for i in normal}
         score = {self.names[i]: sp.get_score(i) for i in normal}
         probe = sp.encode("  a  b ")
-        if sp.decode(probe) != "  a  b " or sp.normalize("Ａ éé ") not in ("Ａ éé ", MARK + f"Ａ{MARK}éé "):
+        text = "\uff21 e\u0301\u00e9\u00a0"  # wide, composed, decomposed and unusual blanks
+        if sp.decode(probe) != "  a  b " or sp.normalize(text) not in (text, MARK + text.replace(" ", MARK)):
             raise ValueError("only models with an identity normaliser are handled")
-        if any(MARK in p.lstrip(MARK) for p in self.id):
+        if self.kind == BPE and any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece spans two words")
 
         def rank(a: str, b: str) -> float:
             return -score.get(a + b, -inf)
 
         self.encoder = PrefixEncoder(self.id, rank, list)
-        self.viterbi = StreamingViterbi(self.encoder)
+        scores = [*score.values(), min(score.values(), default=0.0) - _UNKNOWN_PENALTY] if self.kind == UNIGRAM else None
+        self.viterbi = StreamingViterbi(self.encoder, scores)
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.known: dict[str, list[int]] = {}
+        self.known_parts: dict[str, list[int]] = {}
 
     def ids_of(self, piece: str) -> list[int]:
         i = self.id.get(piece)
@@ -146,22 +223,35 @@ class PieceModel:
             return [i]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
-    def of_word(self, word: str) -> list[int]:
-        ids = self.known.get(word)
+    def of_part(self, part: str) -> list[int]:
+        ids = self.known_parts.get(part)
         if ids is None:
-            short = len(word) <= 2 * self.viterbi.reach  # within one window nothing is committed before the end
-            ids = list(chain.from_iterable(map(self.ids_of, self.encoder.encode(word) if short else self.viterbi.pieces(word))))
-            if len(word) <= 64:
-                if len(self.known) > MEMO:
-                    self.known.clear()
-                self.known[word] = ids
+            ids = list(chain.from_iterable(map(self.ids_of, self.viterbi.pieces(part))))
+            _remember(self.known_parts, part, ids)
+        return ids
+
+    def of_word(self, word: str) -> list[int]:
+        ids, pairs, at = [], self.pairs, 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                ids += self.of_part(word[at:i])
+                at = i
+        ids += self.of_part(word[at:])
+        _remember(self.known, word, ids)
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        known, of_word = self.known.get, self.of_word
-        return list(chain.from_iterable([known(w) or of_word(w) for w in self.word.findall(MARK + text.replace(" ", MARK))]))
+        marked = MARK + text.replace(" ", MARK)
+        if self.kind == BPE:
+            known, of_word = self.known.get, self.of_word
+            ids = list(chain.from_iterable([known(w) or of_word(w) for w in self.word.findall(marked)]))
+        else:  # sums of scores run through the whole text
+            ids = list(chain.from_iterable(map(self.ids_of, self.viterbi.pieces(marked))))
+        if not self.bytes and self.unknown in ids:  # a run of characters outside the vocabulary is one unknown piece
+            ids = [i for i, before in zip(ids, [None, *ids], strict=False) if i != self.unknown or before != i]
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         ids = list(ids)
@@ -187,6 +277,13 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+def _remember(memo: dict[str, list[int]], text: str, ids: list[int]) -> None:
+    if len(text) <= 64:
+        if len(memo) > MEMO:
+            memo.clear()
+        memo[text] = ids
+
+
 _models: dict[str, PieceModel] = {}
 
 
