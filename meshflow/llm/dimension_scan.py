@@ -3,9 +3,10 @@
 Vectors are normalised and rotated by one random orthogonal matrix. k-means centres, fitted on a
 bounded sample of SAMPLE rows, split every row into lists; a query looks into its `probes` nearest
 lists. In a list candidates are held in blocks of columns: after each block a hypothesis test compares
-the partial distance, scaled to all dimensions, with the query's bound, the distance of its k-th best
-among SEEDS sampled rows, and candidates that are farther with high confidence are abandoned. Those that stay are scored exactly by
-the cosine of the original vectors in double precision.
+the partial distance, scaled to all dimensions, with the query's bound, and candidates that are farther with
+high confidence are abandoned. The bound starts as the distance of the k-th best among SEEDS sampled rows and
+falls as the scan of a list finds nearer rows. Those that stay are scored exactly by the cosine of the original
+vectors in double precision.
 
 A list is dealt out in chunks of rows, so that one frequent vector doesn't fill one task, and the
 queries go to each chunk of their lists. Equal vectors are scanned once, whatever their number. Wherever
@@ -35,6 +36,8 @@ PROBE_SHARE, MIN_PROBES = 0.75, 8
 #: Columns in a block, and how far a partial distance must exceed the bound, in standard deviations.
 BLOCK, CONFIDENCE = 16, 2.1
 CHUNK_ROWS = 2000
+#: Rows of a chunk between which the bounds are tightened.
+SLICE = 256
 #: Sampled rows with which each query's first bound is found.
 SEEDS = 2000
 
@@ -61,27 +64,45 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.nd
     return c.astype(np.float32)
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, bound: np.ndarray, block: int = BLOCK, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, rows: np.ndarray, bound: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) that no test abandons. bound: of each query, the squared distance to be met.
 
-    The first block is one matrix product; later blocks only look at the pairs that are left.
+    Rows are scanned SLICE at a time. The first block of columns is one matrix product; later blocks only look at
+    the pairs that are left. After each slice a query's bound falls to the distance of the best k + 1 ids (ids: one
+    of each row), of which one may be its own.
     """
     dim = rows.shape[1]
+    bound = bound.astype(np.float32).copy()
+    kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))  # query, id, distance
 
     def limit(end: int, of: np.ndarray) -> np.ndarray:
         scale = (end / dim) * (1 + confidence / np.sqrt(end)) ** 2 if end < dim else 1
         return bound[of] * scale * (1 + 1e-5) + 1e-6
 
-    end = min(dim, block)
-    q, r = queries[:, :end], rows[:, :end]
-    part = (q**2).sum(1)[:, None] + (r**2).sum(1) - 2 * (q @ r.T)
-    qi, ri = np.nonzero(part <= limit(end, np.arange(len(queries)))[:, None])
-    part = part[qi, ri]
-    for at in range(block, dim, block):
-        end = min(dim, at + block)
-        part = part + ((rows[ri, at:end] - queries[qi, at:end]) ** 2).sum(1)
-        stay = part <= limit(end, qi)
-        qi, ri, part = qi[stay], ri[stay], part[stay]
+    for first in range(0, len(rows), SLICE):
+        own = rows[first : first + SLICE]
+        end = min(dim, block)
+        q, r = queries[:, :end], own[:, :end]
+        part = (q**2).sum(1)[:, None] + (r**2).sum(1) - 2 * (q @ r.T)
+        qi, ri = np.nonzero(part <= limit(end, np.arange(len(queries)))[:, None])
+        part = part[qi, ri]
+        for at in range(block, dim, block):
+            end = min(dim, at + block)
+            part = part + ((own[ri, at:end] - queries[qi, at:end]) ** 2).sum(1)
+            stay = part <= limit(end, qi)
+            qi, ri, part = qi[stay], ri[stay], part[stay]
+        kept.append((qi, ri + first))
+        qi, of, part = (np.concatenate(x) for x in zip(best, (qi, ids[ri + first], part), strict=True))
+        order = np.lexsort((part, of, qi))  # the nearest of each id
+        order = order[np.concatenate([[True], (qi[order][1:] != qi[order][:-1]) | (of[order][1:] != of[order][:-1])])] if len(order) else order
+        order = order[np.lexsort((part[order], qi[order]))]
+        place = np.arange(len(order)) - np.searchsorted(qi[order], qi[order])
+        last = order[place == k]
+        bound[qi[last]] = np.minimum(bound[qi[last]], part[last])
+        order = order[place <= k]
+        best = qi[order], of[order], part[order]
+    qi, ri = (np.concatenate(x) for x in zip(*kept, strict=True))
     return qi, ri
 
 
@@ -166,10 +187,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
         out = {"asked": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
         if isq.any() and not isq.all():
             raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])  # powers of two leave a cosine as it is
             turned = _unit(raw).astype(np.float32) @ shipped.value[1]
             ids, asked_ids = pdf["ids"].to_numpy()[~isq], pdf["asked"].to_numpy()[isq].astype(np.int64)
             rows_raw, q_raw = raw[~isq], raw[isq]
-            qi, ri = scan(turned[isq], turned[~isq], pdf["bound"].to_numpy(np.float32)[isq])
+            qi, ri = scan(turned[isq], turned[~isq], pdf["bound"].to_numpy(np.float32)[isq], np.array([x[0] for x in ids], np.int64), k)
             score = np.einsum("ij,ij->i", rows_raw[ri], q_raw[qi]) / (np.sqrt((rows_raw**2).sum(1))[ri] * np.sqrt((q_raw**2).sum(1))[qi])
             n = np.array([len(x) for x in ids], int)
             got = np.concatenate([ids[i] for i in ri]) if len(ri) else np.zeros(0, np.int64)
