@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_mixture import held_out
@@ -293,38 +293,53 @@ def cover(has: list[set[int]], toxic: np.ndarray, z: np.ndarray, odds: np.ndarra
     return np.array(sorted(kept), np.int64)
 
 
-def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with score, predicted and spans (start and end in UTF-8 bytes, largest marginal)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kept = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+def score_slab(m: ToxicModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score of each text of a slab, and its spans (start and end in UTF-8 bytes, largest marginal)."""
+    rows = len(offsets) - 1
+    low, starts, ends, row = words(data, offsets)
+    chains, at = events(m.word_bins(low, starts, ends), row, rows)
+    p = chains.run(m.crf)[1] if m.fitted else np.zeros(len(at))
+    score = _logistic(evidence(chains, p) @ m.curve) if m.fitted else np.zeros(rows)
+    spans: list[list[dict]] = [[] for _ in range(rows)]
+    for k in np.flatnonzero(p >= 0.5):
+        mine, w = spans[row[at[k]]], at[k]
+        if mine and w and mine[-1]["end"] == ends[w - 1] - offsets[row[w]]:
+            mine[-1]["end"], mine[-1]["p"] = int(ends[w] - offsets[row[w]]), max(mine[-1]["p"], float(p[k]))
+        else:
+            mine.append({"start": int(starts[w] - offsets[row[w]]), "end": int(ends[w] - offsets[row[w]]), "p": float(p[k])})
+    return score, spans
+
+
+SPANS = "array<struct<start:bigint,end:bigint,p:double>>"
+
+
+def scorer(spark: SparkSession, model: ToxicModel):
+    """A column function: text to struct of score and spans. Only the text goes to Python."""
+    shipped = spark.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        for batch in batches:
-            for part, data, offsets in slabs(batch):
-                low, starts, ends, row = words(data, offsets)
-                chains, at = events(m.word_bins(low, starts, ends), row, part.num_rows)
-                p = chains.run(m.crf)[1] if m.fitted else np.zeros(len(at))
-                score = _logistic(evidence(chains, p) @ m.curve) if m.fitted else np.zeros(part.num_rows)
-                spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                for k in np.flatnonzero(p >= 0.5):
-                    mine, w = spans[row[at[k]]], at[k]
-                    if mine and w and mine[-1]["end"] == ends[w - 1] - offsets[row[w]]:
-                        mine[-1]["end"], mine[-1]["p"] = int(ends[w] - offsets[row[w]]), max(mine[-1]["p"], float(p[k]))
-                    else:
-                        mine.append({"start": int(starts[w] - offsets[row[w]]), "end": int(ends[w] - offsets[row[w]]), "p": float(p[k])})
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, span)], names=[*part.schema.names[:-1], "score", "predicted", "spans"])
-
-    out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text").mapInArrow(scored, f"{kept}, score double, predicted int, spans array<struct<start:bigint,end:bigint,p:double>>")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted", "spans")
+    @F.arrow_udf(f"score double, spans {SPANS}")
+    def scored(text: pa.Array) -> pa.Array:
+        score, spans = [np.zeros(0)], []
+        for _, data, offsets in slabs(pa.RecordBatch.from_arrays([text], names=["text"])):
+            x, y = score_slab(shipped.value, data, offsets)
+            score.append(x)
+            spans += y
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(score)), pa.array(spans, span)], names=["score", "spans"])
+
+    return scored
+
+
+def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id with score, predicted and spans (start and end in UTF-8 bytes, largest marginal) of each row."""
+    out = docs.select("doc_id", scorer(docs.sparkSession, model)("text").alias("found"))
+    return out.select("doc_id", "found.score", (F.col("found.score") >= threshold).cast("int").alias("predicted"), "found.spans")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with their columns, that are not predicted to be toxic; learnt from rows that aren't held out."""
     model = train(docs.where(~held_out(F.col("doc_id"), 3, 1)), labels)
-    row = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score_documents(row, model, keep=("row",)).where("predicted = 0").select("row.*")
+    return docs.where(scorer(docs.sparkSession, model)("text")["score"] < THRESHOLD)
 
 
 def op4_toxic_crf(spark, sf_dir: str) -> DataFrame:
@@ -332,7 +347,7 @@ def op4_toxic_crf(spark, sf_dir: str) -> DataFrame:
     fold = held_out(F.col("doc_id"), 3, 1)
     model = train(docs.where(~fold), labels)
     found = score_documents(docs, model)
-    return found.select("doc_id", fold.alias("held_out"), "score", "predicted", F.size("spans").cast("bigint").alias("n_spans"))
+    return found.select("doc_id", fold.alias("held_out"), "score", "predicted", F.size("spans").cast("bigint").alias("n_spans"), "spans")
 
 
 def tag_text(model: ToxicModel, text: str) -> pd.DataFrame:
