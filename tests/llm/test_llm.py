@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -83,6 +85,70 @@ def test_languages(spark, empty):
 # op2
 
 
+def brute_mixture(p, weight, penalty):
+    """(penalised log likelihood, proportions) of the best of all language sets; p: languages x n-grams."""
+    best = (-np.inf, None)
+    for bits in range(1, 1 << len(p)):
+        on = [k for k in range(len(p)) if bits >> k & 1]
+        share = np.zeros(len(p))
+        share[on] = 1 / len(on)
+        for _ in range(20_000):
+            spread = share[:, None] * p
+            new = (spread * (weight / spread.sum(0))).sum(1) / weight.sum()
+            moved, share = np.abs(new - share).max(), new
+            if moved < 1e-10:
+                break
+        best = max(best, ((weight * np.log((share[:, None] * p).sum(0))).sum() - penalty * (len(on) - 1), share), key=lambda x: x[0])
+    return best
+
+
+def test_mixtures_against_all_language_sets():
+    rng = np.random.default_rng(2)
+    langs, cells = 4, 40
+    likelihood = rng.dirichlet(np.full(cells, 0.3), langs).T + 1e-4
+    likelihood /= likelihood.sum(0)
+    model = language_mixture.LanguageModel(list("abcd"), np.log(likelihood).astype(np.float32))
+    cell, row = [], []
+    for d in range(60):
+        share = np.eye(langs)[d % langs] if d % 3 == 0 else rng.dirichlet(np.full(langs, 0.4))
+        own = rng.choice(cells, rng.integers(1, 400), p=likelihood @ share)
+        cell.append(own)
+        row.append(np.full(len(own), d))
+    got = language_mixture.mixtures(model, np.concatenate(cell), np.concatenate(row), 61)
+    assert (got[60] == 0).all()
+    alike = 0
+    for d, own in enumerate(cell):
+        seen, weight = np.unique(own, return_counts=True)
+        p = np.exp(model.log_likelihood[seen].T.astype(float))
+        best, share = brute_mixture(p, weight, 0.5 * math.log(len(own) + 1))
+        mine = (weight * np.log(np.maximum((got[d][:, None] * p).sum(0), 1e-300))).sum() - 0.5 * math.log(len(own) + 1) * ((got[d] > 0).sum() - 1)
+        assert mine >= best - 0.1 and abs(got[d].sum() - 1) < 1e-5
+        alike += np.abs(got[d] - share).max() < 0.02
+    assert alike >= 55
+
+
+def test_many_languages_and_short_texts(spark, monkeypatch):
+    """More languages than fit at full width: all are learned, with coarser cells, and none stops the job."""
+    monkeypatch.setattr(language_mixture, "MODEL_CELLS", 300 * 1024)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(300)]
+    rows = [(i, (w + " ") * 20, f"l{i:03}") for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("clash"))
+    model = language_mixture.train(docs)
+    assert len(model.names) == 300 and model.log_likelihood.size <= 300 * 1024 and len(model.log_likelihood) == 1024
+    got = language_mixture.identify(docs, model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03}" for r in got) >= 290
+    pair = language_mixture.train(spark.createDataFrame([("à la mer, à toi", "fr"), ("I am a man, I", "en")], "text string, lang string"))
+    short = language_mixture.identify(spark.createDataFrame([(1, "à"), (2, "I"), (3, "I"), (4, "1"), (3, "I")], "doc_id bigint, text string"), pair)
+    assert sorted((r.doc_id, r.lang_pred, r.score > 0) for r in short.collect()) == [(1, "fr", True), (2, "en", True), (3, "en", True), (3, "en", True), (4, "und", False)]
+
+
+def test_ties_between_languages(spark):
+    model = language_mixture.train(spark.createDataFrame([("one two", "b"), ("one two", "a"), ("three", "c")], "text string, lang string"))
+    got = language_mixture.identify(spark.createDataFrame([(1, "one two one two")], "doc_id bigint, text string"), model).first()
+    assert (got.lang_pred, got.n_langs) == ("a", 1)
+
+
 def test_urls(spark):
     urls = [None, "", "no host", "http://a.NET/x", "http://www.example.net/en/1", "https://example.net/de/", "http://b.example.com/de/x?y", "http://x.org/fr/", "http://net", "http://a.com/xxx-1", "http://a.com/foxxxy", "http://a.com/bet", "http://a.com/bet/poker", "http://a.com/bet/BET", "http://xxx.org/fr/a", "http://h.com#/://net/", "http://a.com/xxx"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(16, urls[16])], "page_id bigint, url string").withColumn("host", F.lit("clash"))
@@ -92,6 +158,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages).count() == 18 and url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 5])
+def test_weighted_vocabulary_from_a_table(spark, part_bytes):
+    terms = spark.createDataFrame([("Alpha", 0.4), ("alpha", 0.3), ("beta", 0.4), ("gamma", 0.2), ("omega", 1.0), ("", 9.0), (None, 9.0), ("delta", None)], "term string, weight double")
+    assert url_filter.read_vocabulary(terms) == {"alpha": 0.4, "beta": 0.4, "gamma": 0.2, "omega": 1.0}
+    urls = ["http://a/ALPHA-beta", "http://a/alpha.beta/gamma", "http://a/omega", "http://a/omegas", "http://a/gamma/gamma/gamma/gamma/gamma", "http://a/delta", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.verdict, r.n_strict, r.n_soft) for r in url_filter.judge_urls(pages, (), terms, part_bytes=part_bytes).collect()}
+    assert got == {0: ("allow", 0, 2), 1: ("block", 0, 3), 2: ("block", 1, 0), 3: ("allow", 0, 0), 4: ("allow", 0, 1), 5: ("allow", 0, 0), 6: ("allow", 0, 0)}
+
+
 # op3
 
 
@@ -150,24 +226,54 @@ def test_anchor_depends_on_the_string_alone(before, unit, shift):
     assert [a - s] == place(string, 0)[0]
 
 
-@given(st.lists(st.text("ab", max_size=70), min_size=1, max_size=6), st.sampled_from([5, 9, 40]))
-@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=70), min_size=1, max_size=6), st.sampled_from([3, 5, 9, 40]))
+@settings(max_examples=100, deadline=None)
 def test_run_index(strings, window):
+    """Matching statistics and smallest holders against all pairs of positions."""
     raw = [s.encode() for s in strings]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    index = run_index.RunIndex(data, offsets, window)
-    place = np.empty(len(data), np.int64)
-    place[index.order] = np.arange(len(data))
-    assert np.array_equal(index.stream(), place)
-    rows = np.arange(len(data))
-    inner = index.room[index.order] < np.repeat(np.diff(offsets), np.diff(offsets))[index.order] if len(data) else rows
-    assert np.array_equal(index.step(rows)[inner], place[index.order[inner] - 1]) if len(data) else True
     ids = np.arange(len(raw))[::-1]
+    length, _ = run_index.RunIndex(data, offsets, ids, window).matching_statistics()
+    rests = [x[i:] for x in raw for i in range(len(x))]
+    for i, x in enumerate(rests):
+        assert length[i] == max((len(os.path.commonprefix([x, y])) for j, y in enumerate(rests) if i != j), default=0)
     got = run_index.smallest_holders(data, offsets, ids, window)
     for k, x in enumerate(raw):
-        for i in range(len(x) - window + 1):
-            assert got[offsets[k] + i] == min(ids[j] for j, y in enumerate(raw) if x[i : i + window] in y)
+        for i in range(len(x)):
+            want = min(ids[j] for j, y in enumerate(raw) if x[i : i + window] in y) if i + window <= len(x) else run_index._LAST_ID
+            assert got[offsets[k] + i] == want
+
+
+def test_run_index_follows_the_runs():
+    """Of 20 times as many variants of the same strings the index takes little more."""
+    rng = random.Random(1)
+    base = [bytes(rng.choices(range(97, 123), k=80)) for _ in range(30)]
+
+    def variants(n):
+        out = {x: None for x in base}
+        while len(out) < n:
+            x = rng.choice(base)
+            a, b = rng.randrange(15), rng.randrange(66, 81)
+            out[x[a:b]] = None
+        return list(out)
+
+    def index(strings):
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
+        return run_index.RunIndex(np.frombuffer(b"".join(strings), np.uint8), offsets, np.arange(len(strings)))
+
+    few, many = index(base), index(variants(3000))
+    assert many.n > 80 * few.n and len(many.run) < 8 * len(few.run)
+    assert many.nbytes < many.n * 3
+
+
+def test_repeats_with_repeated_rows_and_null_ids(spark):
+    rng = random.Random(2)
+    passage = prose(rng, 20)
+    rows = [(1, passage + "x"), (1, passage + "x"), (2, "y" + passage), (None, passage), (None, passage + "z"), (3, None), (3, "é" * 60), (4, "é" * 60)]
+    got = run_index.mark_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    size = len(passage.encode())
+    assert sorted((r.doc_id or 99, r.n_bytes, r.n_removed) for r in got) == sorted([(1, size + 1, 0), (1, size + 1, 0), (2, size + 1, size), (99, size, size), (99, size + 1, size), (3, 0, 0), (3, 120, 0), (4, 120, 120)])
 
 
 # op4
@@ -264,6 +370,37 @@ def test_neighbours_with_repeated_ids(spark, monkeypatch, chunk):
         assert np.allclose([x[2] for x in sorted(got[q])], [x[2] for x in sorted(expected[q])], atol=1e-8)
 
 
+def test_recall_over_many_lists(spark, monkeypatch):
+    """50 lists, of which three quarters are probed; the vectors have no clusters, the hardest case."""
+    monkeypatch.setattr(dimension_scan, "LIST_ROWS", 60)
+    x = np.random.default_rng(8).normal(size=(3000, 64)).round(3)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in dimension_scan.search(table, table.where("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {q: set([i for i in np.argsort(-(unit @ unit[q]), kind="stable") if i != q][:5]) for q in range(0, 3000, 50)}
+    assert sum(len(got[q] & best[q]) for q in best) / (5 * len(best)) >= 0.9
+
+
+def test_scan_tightens_its_bounds(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    wide = np.full(5, 4.0, np.float32)
+    qi, ri = dimension_scan.scan(x[:5], x, wide, np.arange(4000), 5, confidence=6)
+    assert len(qi) < 5 * 800  # a fixed bound leaves all 20,000
+    for q in range(5):
+        assert set(np.argsort(-(x @ x[q]))[:6].tolist()) <= set(ri[qi == q].tolist())
+
+
+def test_very_large_components(spark):
+    rows = [(0, [3e200, 4e200]), (1, [4e250, 3e250]), (2, [1e-200, 0.0]), (3, [0.0, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 12)) for r in dimension_scan.search(table, table.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 0.96), (2, 0.6), (3, -0.8)]
+
+
 # op6
 
 
@@ -333,16 +470,68 @@ def test_streaming_commits(pieces):
     assert fed < 200
 
 
+def write_model(path, kind, pieces, fallback=False):
+    """A model file: pieces of (text, score), after the unknown, begin and end pieces, and byte pieces if asked for."""
+
+    def field(number, value):
+        if isinstance(value, float):
+            return bytes([number << 3 & 127 | 5]) + struct.pack("<f", value)
+        if isinstance(value, int):
+            tag = number << 3
+            head = bytes([tag]) if tag < 128 else bytes([tag & 127 | 128, tag >> 7])
+            return head + bytes([value])
+        size = len(value)
+        return bytes([number << 3 | 2]) + (bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])) + value
+
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256 * fallback)] + [(t, s, 1) for t, s in pieces]
+    proto = b"".join(field(1, field(1, t.encode()) + field(2, float(s)) + field(3, k)) for t, s, k in listed)
+    proto += field(2, field(3, kind) + field(35, int(fallback)))
+    proto += field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    path.write_bytes(proto)
+    return str(path)
+
+
+UNITS = [*"▁abcé", "ab", "bc", "abc", "ca", "▁a", "▁ab", "aa", "aaa", "▁▁", "b▁a", "cab▁", "éa"]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram(tmp_path, fallback):
+    """Against the library, with ties, characters outside the vocabulary, and pieces over two words."""
+    rng = random.Random(5)
+    for seed in range(6):
+        scores = [rng.choice([-1.0, -2.0, -2.5, -4.0]) if seed % 2 else -8 * rng.random() for _ in UNITS]
+        path = write_model(tmp_path / f"{fallback}{seed}", 1, list(zip(UNITS, scores, strict=True)), fallback)
+        mine, theirs = piece_viterbi.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        for n in [0, 1, 2, 5, 9, 30, 30, 80, 80, 400, 4000]:
+            text = "".join(rng.choice("aaabbc  éxyz😀") for _ in range(n))
+            ids = mine.encode(text)
+            assert ids == theirs.encode(text) and mine.decode(ids) == theirs.decode(ids)
+
+
+def test_every_word_is_streamed(pieces, monkeypatch):
+    mine = pieces[0]
+    seen = []
+    monkeypatch.setattr(mine, "known", {})
+    monkeypatch.setattr(mine, "known_parts", {})
+    monkeypatch.setattr(mine.viterbi, "pieces", lambda word, whole=mine.viterbi.pieces: seen.append(word) or whole(word))
+    mine.encode("a word, and " + "longer" * 30)
+    assert "".join(seen) == "▁a▁word,▁and▁" + "longer" * 30 and seen[-1].endswith("longer" * 30)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_window_is_bounded(tmp_path, kind):
+    path = write_model(tmp_path / "m", kind, [(t, -i / 2) for i, t in enumerate(UNITS) if "▁" not in t[1:]])
+    mine, theirs = piece_viterbi.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcé") for _ in range(20000))
+    assert mine.encode(text) == theirs.encode(text)
+    assert mine.viterbi.widest <= 12 * mine.viterbi.reach
+
+
 def test_other_models_are_refused(tmp_path):
-    text = tmp_path / "text"
-    text.write_text("\n".join(prose(random.Random(i), 20).replace("\n", " ") for i in range(200)))
-    for kind in ("bpe", "unigram"):
-        sentencepiece.SentencePieceTrainer.train(input=str(text), model_prefix=str(tmp_path / kind), model_type=kind, vocab_size=100, hard_vocab_limit=kind == "bpe", normalization_rule_name="identity", remove_extra_whitespaces=False)
-        if kind == "bpe":
-            piece_viterbi.PieceModel(str(tmp_path / "bpe.model"))
-        else:
-            with pytest.raises(ValueError, match="BPE"):
-                piece_viterbi.PieceModel(str(tmp_path / "unigram.model"))
+    for kind in (3, 4):
+        with pytest.raises(ValueError, match="unigram and BPE"):
+            piece_viterbi.PieceModel(write_model(tmp_path / "m", kind, [(t, -1) for t in UNITS]))
 
 
 def test_piece_documents(docs, empty, pieces):
@@ -448,23 +637,57 @@ def brute_model(texts, n=kneser_ney.ORDER):
     return perplexity
 
 
-@pytest.mark.parametrize("shard", [10**6, 40])
-def test_perplexity(spark, empty, shard):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 6, "shard_bytes": 4, "part_blocks": 2}])
+def test_perplexity(spark, empty, sizes):
     rows = [(i, t, la) for i, (t, la) in enumerate([("Abab abba", "x"), ("abba cab", "x"), ("bab", "y"), ("", "x"), (None, "x"), ("zzz é", "x"), ("ab", "q"), ("cab cab", None), ("cab", None)])]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in (0, 1, 2, 7)], "doc_id bigint, quality int, toxic int")
-    entries, langs = kneser_ney.estimate(kneser_ney.count_grams(docs.join(labels, "doc_id", "left_semi")))
-    got = {r.doc_id: r for r in kneser_ney.perplexities(docs, entries, langs, shard_entries=shard).collect()}
-    models = {"x": brute_model(["Abab abba", "abba cab"]), "y": brute_model(["bab"]), None: brute_model(["cab cab"])}
-    for d, t, la in rows:
-        if t and la != "q":
-            assert math.isclose(math.exp(-got[d].log_p / got[d].n), models[la](t), rel_tol=1e-9)
+    rows += [(None, "abba cab", "x"), (0, "Abab abba", "x"), (2, "bab", "y"), (12, "cab", "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("own", F.lit("clash"))
+    trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 7, None)], "doc_id bigint")
+    got = kneser_ney.perplexities(docs, trusted, **sizes).collect()
+    models = {"x": brute_model(["Abab abba", "abba cab", "Abab abba"]), "y": brute_model(["bab", "bab"]), None: brute_model(["cab cab"])}
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in rows)
+    of = {(d, la): t for d, t, la in rows}
+    for r in got:
+        t = of[r.doc_id, r.lang]
+        if t and r.lang in models:
+            assert math.isclose(math.exp(-r.log_p / r.n), models[r.lang](t), rel_tol=3e-4)
         else:
-            assert got[d].log_p is None
+            assert r.log_p is None and r.n == 0
+    labels = spark.createDataFrame([(i, 1, 0) for i in (0, 1, 2, 7)], "doc_id bigint, quality int, toxic int")
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
     assert not any(r.keep for r in kneser_ney.classify(docs, labels.limit(0)).collect())
 
 
+def test_thresholds(spark):
+    """Thresholds and decisions against the quantile of the documents that the model hasn't seen."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(3, 30)), la) for i, la in enumerate(["x", "y"] * 60)] + [(200, None, "x"), (201, "xi", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, labels, 0.7).collect()}
+    unseen = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HOLD_OUT)) == 0).collect()}
+    good = {i for i in range(90) if i % 3}
+    assert len(got) == len(rows) and not got[200].keep and not got[201].keep and got[201].perplexity is None
+    for la in "xy":
+        mine = [r for r in rows if r[2] == la and r[1]]
+        p = brute_model([t for i, t, _ in mine if i in good - unseen])
+        held = sorted(math.log(p(t)) for i, t, _ in mine if i in good & unseen)
+        limit = held[math.ceil(0.7 * len(held)) - 1]
+        for i, t, _ in mine:
+            assert math.isclose(got[i].perplexity, p(t), rel_tol=3e-4)
+            assert abs(math.log(got[i].threshold) - limit) <= kneser_ney.STEP + 3e-4
+            assert got[i].keep == (math.log(got[i].perplexity) <= math.log(got[i].threshold) + 1e-12)
+
+
+@given(st.dictionaries(st.integers(0, 2**48 - 1), st.integers(1, 2**40)))
+@settings(max_examples=40, deadline=None)
+def test_packed_counts(counts):
+    key = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in sorted(counts)], np.int64)
+    again = kneser_ney._wide(kneser_ney._narrow(key, n))
+    assert (again[0] == key).all() and (again[1] == n).all()
+
+
 def test_quality(spark):
     rng = random.Random(10)
     rows = [(i, prose(rng, 60) if i % 5 else "".join(rng.choice("qxzjkw#%&0123") for _ in range(200)), "en") for i in range(200)]
@@ -511,8 +734,54 @@ def test_contamination(spark, docs, empty, block_bytes):
     assert decontaminate.find_contamination(empty, bench).count() == 0
 
 
-def test_longest_match():
-    b = decontaminate.benchmark_suffixes([("k", "a b c d e f g h i j k l m")], 10)
-    data = np.frombuffer(b"x a b c d e f g h i j k z", np.uint8)
-    found = decontaminate.longest_matches(data, np.array([0, len(data)]), b)
-    assert ("k", 0, 1, 11) in found and ("k", 0, 2, 10) in found
+def brute_longest(words, items):
+    """(words, first word, item) of the longest match of a document's words with any item, from windows on."""
+    best = None
+    for k, t in items:
+        w = words_of(t)
+        for i in range(len(words)):
+            for j in range(len(w)):
+                n = 0
+                while i + n < len(words) and j + n < len(w) and words[i + n] == w[j + n]:
+                    n += 1
+                if n and n >= min(len(w), decontaminate.WINDOW):
+                    best = min(best or (1,), (-n, i, str(k)))
+    return (-best[0], *best[1:]) if best else (0, None, None)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_longest_match(spark, block_bytes):
+    rng = random.Random(4)
+    items = [(k, " ".join(rng.choices("abc", k=n))) for k, n in enumerate([12, 14, 30, 3, 18])]
+    rows = [(i, " ".join([*rng.choices("abc", k=rng.randrange(9)), *items[i % 5][1].split()[i % 3 : 25 - i % 4], *rng.choices("abcx", k=20)])) for i in range(25)] + [(90, "x y"), (91, None)]
+    got = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes)
+    assert {r.doc_id: (r.longest_words, r.longest_at, r.longest_item) for r in got.collect()} == {d: brute_longest(words_of(t), items) for d, t in rows}
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_whose_rolling_hashes_agree(spark, size):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, other), (2, word)], "doc_id bigint, text string")
+    got = decontaminate.find_contamination(docs, spark.createDataFrame([(7, word)], "item_id bigint, text string"))
+    assert {r.doc_id: r.n_hit for r in got.collect()} == {1: 0, 2: 1}
+    assert {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+
+
+def test_false_occurrences_are_left_out(monkeypatch):
+    """With hashes of three values nearly all words collide; the comparison of bytes still tells them apart."""
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda low, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    b = decontaminate.benchmark_suffixes([("k", "ab c def")], 10)
+    text = b"ab c def ab x def xy c def ab c def"
+    found = decontaminate.find(b, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert sorted(found.first.tolist()) == [0, 9]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = np.frombuffer((prose(random.Random(3), 3000) + "z" * 900).encode(), np.uint8)
+    whole = bag_minhash.bags(text, np.array([0, len(text)]))
+    from meshflow.llm import slabs
+
+    monkeypatch.setattr(slabs, "SLAB_BYTES", 500)
+    for x, y in zip(whole, bag_minhash.bags(text, np.array([0, len(text)])), strict=True):
+        assert (x == y).all()
