@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshflow")
+    """spark.checkpoint.dir, or on a local master without it, as in tests, a folder of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="meshflow")
 
 
 def run_once(stream: DataFrame, mode: str = "append", folder: str | None = None, timeout: float = 600) -> DataFrame:
