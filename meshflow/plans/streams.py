@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshflow.plans.registry import EV, query
-from meshflow.plans.tables import SIX_HOURS, arrays_of_events, read
+from meshflow.model import ArraySpec, Window
+from meshflow.plans.registry import EV, _cte, query
+from meshflow.plans.tables import SIX_HOURS, arrays_of_events, chunks_of_events, read
 from meshflow.streaming.firing import SUBSCRIPTIONS, fire, with_state_store
 from meshflow.streaming.run import run_once, shared_folder
+from meshflow.streaming.session import Analysis, Session
 
 
 @query("""WITH ev AS (SELECT event_type AS array_name, (CAST(epoch(ts) AS BIGINT) - 1704067200) // 21600 AS timestep, user_id % 4 AS rank, value FROM events)
@@ -59,3 +62,40 @@ coalesce(CAST(max(CASE WHEN ord = 1 THEN timestep END) OVER o AS VARCHAR), '') |
 FROM a WINDOW o AS (ORDER BY timestep, ord ROWS UNBOUNDED PRECEDING)""")
 def stream_or2(spark, sf_dir):
     return _fired(spark, sf_dir, ["click", "view"], 1, "OR")
+
+
+WEEK = 7 * 86400
+
+
+def _played(spark, sf_dir) -> Session:
+    """A session in which four ranks have sent weekly chunks of one array, of one cell each, to workers a and c of three."""
+    session = Session(spark, f"{shared_folder(spark)}/session_{uuid.uuid4().hex}", 4)
+    producers = [session.producer(r, {"click": ArraySpec((2, 2), (1, 1), (r // 2, r % 2))}, wait_for_go=False) for r in range(4)]
+    session.announce({"a": {}, "b": {}, "c": {}})
+    chunks = chunks_of_events(spark, sf_dir, WEEK).where("array_name = 'click'").select("timestep", "rank", "s")
+    for r in chunks.orderBy("timestep", "rank").toLocalIterator():
+        producers[r["rank"]].send("click", np.array([[r.s]]), r.timestep, filter_workers=lambda w: [n for n in w if n != "b"])
+    for p in producers:
+        p.close()
+    return session
+
+
+@query(_cte(WEEK) + """, w AS (SELECT timestep, round(sum(total) OVER (ORDER BY timestep ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 4) AS window_sum FROM arrays WHERE array_name = 'click')
+SELECT 'sum' AS key, timestep, window_sum AS value FROM w""")
+def session_feedback(spark, sf_dir):
+    """Producers, a callback on windows of two, and what it feeds back to the producers."""
+    session = _played(spark, sf_dir)
+    session.join()
+    analysis = Analysis(session)
+    analysis.register_callback(lambda x: analysis.set("sum", round(sum(a.sum() for a in x), 4), x[-1].t), Window("click", 2))
+    analysis.execute_callbacks()
+    rows = session.feedback().select("key", "timestep", F.col("value").cast("double").alias("value"))
+    analysis.close()
+    return rows
+
+
+@query(_cte(WEEK) + """, c AS (SELECT timestep, rank FROM chunks WHERE array_name = 'click')
+SELECT CASE (timestep + rank) % 2 WHEN 0 THEN 'a' ELSE 'c' END AS worker, rank, count(*) AS n_chunks FROM c GROUP BY ALL""")
+def session_workers(spark, sf_dir):
+    """Where the filter of workers has placed the chunks."""
+    return _played(spark, sf_dir).log.read().groupBy("worker", "rank").agg(F.count("*").alias("n_chunks"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshflow.functions import arrays as A
-from meshflow.model import ArraySpec, Window
+from meshflow.model import FEEDBACK, ArraySpec, Window
 from meshflow.operators import assemble
 from meshflow.sources.chunk_log import ChunkLog
 from meshflow.streaming.control import Folder, wait_until
@@ -181,6 +181,17 @@ class Session:
         for name in folder.names()[: -self.max_feedback]:
             folder.drop(name)
 
+    def feedback(self) -> DataFrame:
+        """The feedback that is held, as rows of FEEDBACK; value is JSON."""
+        root = Folder(self.root, "feedback")
+        root.fs.create_dir(root.path)
+        path = F.col("_metadata.file_path")
+        key = F.unhex(F.regexp_extract(path, "/([0-9a-f]*)/[0-9]+[.]json$", 1)).cast("string")
+        rows = self.spark.read.schema("line string").option("recursiveFileLookup", "true").text(f"{self.root}/feedback", wholetext=True)
+        seq = F.regexp_extract(path, "/([0-9]+)[.]json$", 1).cast("bigint")
+        rows = rows.select(key.alias("key"), seq.alias("seq"), F.get_json_object("line", "$[0]").cast("bigint").alias("timestep"), F.get_json_object("line", "$[1]").alias("value"))
+        return rows.select(*(F.col(f.name).cast(f.dataType) for f in FEEDBACK.fields))
+
 
 def _log_error(e: BaseException) -> None:
     log.error("callback failed: %s", e)
