@@ -9,16 +9,23 @@ the probability of their weighted Jaccard similarity. Points are generated in ti
 by which a bag of this weight has very likely filled its registers, and further for those that have not.
 
 Signatures are cut into bands. Documents with equal bags are one vertex. In each bucket of a band every
-member is paired with the one that meets most others in all buckets, and pairs are verified on the whole texts by the exact
-similarity of the bags. Buckets whose members are then still in several components pair members across
-components, where their signatures agree well enough not to be excluded. Connected components of the
-verified links are the classes.
+member is paired with the one that meets most others in all buckets, its centre, and pairs are verified
+on the whole texts by the exact similarity of the bags (shingles being compared by 64-bit hashes).
+Buckets whose members are then still in several components pair members across components inside blocks
+of bounded bytes, where their signatures agree well enough not to be excluded; a pair is looked at in
+the first band that it shares. Connected components of the verified links are the classes.
 
 With 24 bands of 5 rows, a pair of similarity 0.8 shares no bucket with probability 7e-5, and less when
-it is more alike.
+it is more alike; it is excluded by its signatures with probability 2e-7.
+
+Buckets, centres, labels and bags that very many rows share are never dealt to one task: their rows stay
+where they are and look the key up (shared.spread_join), and a centre with very many members is sent to
+several tasks, each with a part of them. Tasks stream texts sorted by centre, of which they hold one slab.
 
 Defined results: null and empty texts, and texts without words, are classes of their own. Rows with the
-same id are one document when classes are formed. Empty table: empty result. Other columns are not read.
+same id are one document when classes are formed; rows with a null id have no class (null) and stay.
+Repeated rows and ties don't matter. Very long texts are compared whole; a slab then holds that text
+alone. Empty table: empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,27 +34,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
-from .slabs import mix, prefix_hash, range_hash, ranges, slabs, words
+from .shared import few_rows_at_once, heavy_from, settle, settle_rows, spread_join
+from .slabs import hashed_words, mix, ranges, slabs, trim
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Registers that must agree for a pair in a mixed bucket to be verified; a pair of similarity 0.8 agrees
-#: in 96 of 120 on average and in fewer than 80 with probability 3e-4.
-LEAST_AGREEING = 80
-#: Members of a block of a mixed bucket.
-BLOCK_MEMBERS = 2000
-_SLAB = 1 << 20
+#: in 96 of 120 on average and in fewer than 72 with probability 2e-7.
+LEAST_AGREEING = 72
+#: Members of a block of a mixed bucket, and bytes of their bags.
+BLOCK_MEMBERS, BLOCK_BYTES = 1000, 6 << 20
+_SLAB = 1 << 19
 _M = BANDS * ROWS
+_AT_ONCE = 1 << 19
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle hash, multiplicity), ordered by row and hash."""
-    low, starts, ends, row = words(data, offsets)
-    h = range_hash(prefix_hash(low), starts, ends)
+    h, row = hashed_words(data, offsets)
     rows = len(offsets) - 1
     n = np.bincount(row, minlength=rows)
     first = np.cumsum(n) - n
@@ -124,9 +131,9 @@ def _next_point(seed: np.ndarray, turn: np.ndarray, rate: np.ndarray) -> np.ndar
     return -np.log(_uniform(mix(seed + mix(turn * np.uint64(2))))) / rate
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, bag_a, bag_b (a 128-bit hash of the bag; null without words), weight, bands, registers."""
-    key = docs.schema["doc_id"].dataType.simpleString()
+def sign(texts: DataFrame) -> DataFrame:
+    """doc_id, tx, bag_a, bag_b (a 128-bit hash of the bag; null without words), weight, bands, registers of (doc_id, tx, text)."""
+    key = texts.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,65 +153,80 @@ def sign(docs: DataFrame) -> DataFrame:
                     h = mix(h + sig[:, k::ROWS] + np.uint64(k + 1))
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(h.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
                 registers = [x.tobytes() for x in sig.astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *whole, pa.array(np.bincount(row, weight, minlength=n).astype(np.int64)), bands, pa.array(registers, pa.binary())], names=["doc_id", "bag_a", "bag_b", "weight", "bands", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *whole, pa.array(np.bincount(row, weight, minlength=n).astype(np.int64)), bands, pa.array(registers, pa.binary())], names=["doc_id", "tx", "bag_a", "bag_b", "weight", "bands", "registers"])
+
+    return texts.select("doc_id", "tx", "text").mapInArrow(signed, f"doc_id {key}, tx bigint, bag_a bigint, bag_b bigint, weight bigint, bands array<bigint>, registers binary")
 
-    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {key}, bag_a bigint, bag_b bigint, weight bigint, bands array<bigint>, registers binary")
 
+def overlap(h: np.ndarray, w: np.ndarray, row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """What each row's bag has in common with the bag (h, w), h being sorted."""
+    place = np.minimum(np.searchsorted(h, shingle), len(h) - 1)
+    both = np.where(h[place] == shingle, np.minimum(w[place], weight), 0)
+    return np.bincount(row, both, minlength=rows)
 
-def similarity(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int) -> np.ndarray:
-    """Weighted Jaccard similarity of the bags of equal rows."""
-    total = np.bincount(a[0], a[2], minlength=rows) + np.bincount(b[0], b[2], minlength=rows)
-    row, h, w = (np.concatenate(x) for x in zip(a, b, strict=True))
-    order = np.lexsort((h, row))
-    row, h, w = row[order], h[order], w[order]
-    both = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]))
-    common = np.bincount(row[both], np.minimum(w[both], w[both + 1]), minlength=rows)
-    return common / np.maximum(total - common, 1)
 
+def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) of those pairs (id, tx, cid, ctx) whose bags are at least so alike.
 
-def verify(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of ids whose bags are at least so alike; the texts meet in two joins by id."""
-    texts = docs.select("doc_id", "text")
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    key = docs.schema["doc_id"].dataType.simpleString()
+    Each task streams centres (cid, ctx) with their members: only the centre's bag is held.
+    """
+    most = heavy_from(pairs.count())
+    parts = pairs.groupBy("cid", "ctx").agg(F.count("*").alias("n")).where(F.col("n") > most).select("cid", "ctx", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    dealt = pairs.join(F.broadcast(parts), ["cid", "ctx"], "left").withColumn("part", F.pmod(F.xxhash64("id", "tx"), F.coalesce("parts", F.lit(1))).cast("int"))
+    member = dealt.select("id", "tx", "cid", "ctx", "part", F.lit(1).alias("turn"))
+    centre = dealt.select(F.col("cid").alias("id"), F.col("ctx").alias("tx"), "cid", "ctx", "part", F.lit(0).alias("turn")).distinct()
+    once = texts.groupBy(F.col("doc_id").alias("id"), "tx").agg(F.first("text").alias("text"))
+    met = member.unionAll(centre).join(once, ["id", "tx"]).repartition("cid", "ctx", "part").sortWithinPartitions("cid", "ctx", "part", "turn")
+    key = texts.schema["doc_id"].dataType.simpleString()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, w = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                bag = {}
-                for side in (2, 3):
-                    bag[side] = [x for x in slabs(pa.RecordBatch.from_arrays([piece.column(side)], names=["text"]), limit=1 << 40)][0][1:]
-                s = similarity(bags(*bag[2]), bags(*bag[3]), piece.num_rows)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"]).filter(pa.array(s >= least))
-
-    return both.mapInArrow(compared, f"a {key}, b {key}").distinct()
+            for part, data, offsets in slabs(batch, limit=_SLAB):
+                row, shingle, weight = bags(data, offsets)
+                n = part.num_rows
+                turn = part.column(2).to_numpy()
+                total = np.bincount(row, weight, minlength=n)
+                at = np.searchsorted(row, np.arange(n + 1))
+                alike = np.zeros(n, bool)
+                heads = np.flatnonzero(turn == 0).tolist()
+                for i, j in zip([-1, *heads], [*heads, n], strict=True):  # members of the centre of the slab before come first
+                    if i >= 0:
+                        h, w = shingle[at[i] : at[i + 1]].copy(), weight[at[i] : at[i + 1]].copy()
+                    if j > i + 1 and len(h):
+                        own = slice(at[i + 1], at[j])
+                        common = overlap(h, w, row[own] - i - 1, shingle[own], weight[own], j - i - 1)
+                        alike[i + 1 : j] = common >= least * (total[i + 1 : j] + w.sum() - common)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["id", "cid"]).filter(pa.array(alike))
+
+    links = met.select("id", "cid", "turn", "text").mapInArrow(compared, f"id {key}, cid {key}").where("id <> cid")
+    return links.select(F.greatest("id", "cid").alias("a"), F.least("id", "cid").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and label (the smallest id that is linked to it) of every id in links (a, b)."""
-    both = links.select("a", "b").union(links.select("b", "a").toDF("a", "b")).distinct()
-    both = settle(both)
-    label = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    both = settle_rows(links.select("a", "b").unionAll(links.select("b", "a").toDF("a", "b")).distinct())
+    rows = both.count()
+    label = settle_rows(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        new = label.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "l").alias("label"), F.col("label").alias("old"))
+        near = spread_join(both, label.select(F.col("id").alias("b"), F.col("label").alias("l")), ["b"], rows).groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
+        new = settle_rows(label.join(near, "id").select("id", F.least("label", "l").alias("label"), F.col("label").alias("old")))
         up = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = settle(new.join(up, "label").select("id", F.col("up").alias("label"), "old"))
+        new = settle_rows(spread_join(new, up, ["label"], rows).select("id", F.col("up").alias("label"), "old"))
         if new.where("label <> old").isEmpty():
             return new.select("id", "label")
         label = new.select("id", "label")
 
 
-def across_components(members: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between members (band, h, n, id, label) of one bucket with different labels.
+def across_components(members: DataFrame, vertices: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members (band, h, n, w, id, tx, label) of one bucket with different labels.
 
-    Members of a bucket are dealt into blocks, and each pair of blocks is one group of bounded size. It
-    holds the members' bags, so pairs are verified where they meet and none but links leave it.
+    n and w are the bucket's members and their weight. They are dealt into blocks of bounded members and
+    bytes, and each pair of blocks is one group. It holds the members' bags, so pairs are verified where
+    they meet and none but links leave it.
     """
-    key = docs.schema["doc_id"].dataType.simpleString()
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    key = texts.schema["doc_id"].dataType.simpleString()
+    ids = members.select("id", "tx").distinct()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,72 +234,87 @@ def across_components(members: DataFrame, vertices: DataFrame, docs: DataFrame)
                 row, h, w = bags(data, offsets)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 both = [h[i:j].tobytes() + w[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(both, pa.binary())], names=["id", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.binary())], names=["id", "tx", "bag"])
 
-    # rows that share an id are one vertex, the one whose bag was signed
-    bag = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(packed, f"id {key}, bag binary").groupBy("id").agg(F.min("bag").alias("bag"))
-    whole = bag.join(vertices.select("id", "weight", "registers").join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "id")
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label").join(whole, "id")
+    asked = texts.select(F.col("doc_id").alias("id"), "tx", "text").join(ids, ["id", "tx"], "left_semi")
+    bag = asked.mapInArrow(packed, f"id {key}, tx bigint, bag binary").groupBy("id", "tx").agg(F.first("bag").alias("bag"))
+    whole = bag.join(vertices.select("id", "tx", "weight", "registers", "bands"), ["id", "tx"])
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("w") * 12 / BLOCK_BYTES)).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id", "tx"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "tx", "label").join(whole, ["id", "tx"])
 
     def compared(table: pa.Table) -> pa.Table:
+        trim()
         ids, label, weight, own = (table.column(c).to_numpy() for c in ("id", "label", "weight", "own"))
         sig = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         raw = table.column("bag").to_pylist()
         size = np.array([len(x) // 12 for x in raw])
         first = np.cumsum(size) - size
         h = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(raw, size.tolist(), strict=True)])
         w = np.concatenate([np.frombuffer(x, np.int32, n, 8 * n) for x, n in zip(raw, size.tolist(), strict=True)])
+        band = table.column("band")[0].as_py()
         across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        a, b = [], []
+        a, b = [ids[:0]], [ids[:0]]
         for k in range(len(ids)):
             near = np.flatnonzero((ids < ids[k]) & (label != label[k]) & (np.minimum(weight, weight[k]) >= SIMILARITY * np.maximum(weight, weight[k])) & ((own != own[k]) | (not across)))
-            near = near[(sig[near] == sig[k]).sum(1) >= LEAST_AGREEING] if len(near) else near
-            if not len(near):
-                continue
-            mine, many = slice(first[k], first[k] + size[k]), size[near]
-            at = ranges(first[near], many)
-            place = np.minimum(np.searchsorted(h[mine], h[at]), size[k] - 1)
-            both = np.where(h[mine][place] == h[at], np.minimum(w[mine][place], w[at]), 0)
-            common = np.bincount(np.repeat(np.arange(len(near)), many), both, minlength=len(near))
-            near = near[common >= SIMILARITY * (weight[near] + weight[k] - common)]
-            a.append(np.full(len(near), ids[k]))
-            b.append(ids[near])
-        return pa.table({"a": np.concatenate(a) if a else ids[:0], "b": np.concatenate(b) if b else ids[:0]})
+            near = near[~(bands[near, :band] == bands[k, :band]).any(1)]  # met in an earlier band
+            near = near[(sig[near] == sig[k]).sum(1) >= LEAST_AGREEING]
+            done = 0
+            while done < len(near):
+                some = near[done : done + max(1, int(np.searchsorted(np.cumsum(size[near[done:]]), _AT_ONCE, "right")))]
+                done += len(some)
+                mine, at = slice(first[k], first[k] + size[k]), ranges(first[some], size[some])
+                common = overlap(h[mine], w[mine], np.repeat(np.arange(len(some)), size[some]), h[at], w[at], len(some))
+                some = some[common >= SIMILARITY * (weight[some] + weight[k] - common)]
+                a.append(np.full(len(some), ids[k]))
+                b.append(ids[some])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return dealt.groupBy("band", "h", "i", "j").applyInArrow(compared, f"a {key}, b {key}").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest id of the class) of each row."""
-    signed = settle(sign(docs))
-    vertices = signed.where("bag_a is not null and doc_id is not null").groupBy("bag_a", "bag_b").agg(F.min("doc_id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
-    vertices = settle(vertices)
-    members = vertices.select("id", F.posexplode("bands").alias("band", "h"))
-    shared = members.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
-    in_buckets = settle(members.join(shared, ["band", "h"]))
+    with few_rows_at_once(docs.sparkSession):
+        return _classes(docs)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tx"), "text")  # tx tells the texts of one id apart
+    signed = settle(sign(texts))
+    v = F.min(F.struct(F.col("doc_id").alias("id"), "tx")).alias("v")
+    vertices = signed.where("bag_a is not null and doc_id is not null").groupBy("bag_a", "bag_b").agg(v, F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    vertices = settle_rows(vertices.select("bag_a", "bag_b", "v.id", "v.tx", "weight", "bands", "registers"), 20_000)
+    rows = vertices.count() * BANDS
+    bucket = ["band", "h"]
+    members = vertices.select("id", "tx", "weight", F.posexplode("bands").alias(*bucket))
+    sizes = settle_rows(members.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1"))
+    heavy = sizes.where(F.col("n") > heavy_from(rows))
+    in_buckets = settle_rows(spread_join(members, sizes, bucket, rows, heavy).select(*bucket, "n", "w", "id", "tx"))
     # the text that copies were made from meets more of them than they meet each other
-    met = in_buckets.groupBy("id").agg(F.sum("n").alias("met"))
-    centres = in_buckets.join(met, "id").groupBy("band", "h").agg(F.min(F.struct((-F.col("met")).alias("m"), "id")).alias("c")).select("band", "h", F.col("c.id").alias("centre"))
-    pairs = in_buckets.join(centres, ["band", "h"]).where("id <> centre")
-    first = settle(pairs.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct())
-    links = settle(verify(first, docs))
+    met = in_buckets.withColumn("met", F.sum("n").over(Window.partitionBy("id", "tx")))
+    centres = met.groupBy(*bucket).agg(F.min(F.struct((-F.col("met")).alias("m"), "id", "tx")).alias("c"))
+    centres = settle_rows(centres.select(*bucket, F.col("c.id").alias("cid"), F.col("c.tx").alias("ctx")))
+    pairs = spread_join(in_buckets, centres, bucket, rows, heavy).where("id <> cid or tx <> ctx")
+    links = settle_rows(verify(settle_rows(pairs.select("id", "tx", "cid", "ctx").distinct()), texts))
     label = components(links)
     # buckets whose members are not in one component yet
-    labelled = in_buckets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "h")
-    left_over = settle(labelled.join(mixed, ["band", "h"]).select("band", "h", "n", "id", "label"))
+    labelled = settle_rows(in_buckets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    mixed = labelled.groupBy(*bucket).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*bucket)
+    left_over = settle_rows(spread_join(labelled, settle_rows(mixed), bucket, rows, heavy))
     if not left_over.isEmpty():
-        label = components(links.union(across_components(left_over, vertices, docs)))
-    of_bag = vertices.select("bag_a", "bag_b", "id").join(label, "id", "left").select("bag_a", "bag_b", F.coalesce("label", "id").alias("class_id"))
-    return signed.select("doc_id", "bag_a", "bag_b").join(of_bag, ["bag_a", "bag_b"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        label = components(links.unionAll(across_components(left_over, vertices, texts)))
+    of_bag = settle_rows(vertices.select("bag_a", "bag_b", "id").join(label, "id", "left").select("bag_a", "bag_b", F.coalesce("label", "id").alias("class_id")))
+    has = F.col("bag_a").isNotNull() & F.col("doc_id").isNotNull()
+    named = spread_join(signed.where(has).select("doc_id", "bag_a", "bag_b"), of_bag, ["bag_a", "bag_b"], signed.count())
+    return named.select("doc_id", "class_id").unionAll(signed.where(~has).select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, with their columns, that are the smallest of their class; rows with a null id stay."""
     gone = near_duplicates(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def op8_bag_minhash(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ one text longer than the bound forms a slab of its own, as texts are never cut.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -15,7 +16,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a slab.
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 19
+
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on between tasks."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
 
 #: Words of more bytes are hashed by BLAKE2.
 LONG_WORD = 64
@@ -46,6 +56,7 @@ def slabs(batch: pa.RecordBatch, column: str = "text", limit: int = SLAB_BYTES)
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    trim()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
