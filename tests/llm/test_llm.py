@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from meshflow.llm import bag_minhash, decontaminate, dimension_scan, kneser_ney, language_mixture, piece_viterbi, run_index, token_counts, toxic_crf, url_filter
+from meshflow.llm import bag_minhash, decontaminate, dimension_scan, kneser_ney, language_mixture, piece_viterbi, run_index, shared, token_counts, toxic_crf, url_filter
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -590,6 +590,36 @@ def test_chain_of_copies(spark):
     assert got == brute_classes(rows) and len(set(got.values())) == 1
 
 
+def test_hot_groups_of_copies(spark, monkeypatch):
+    """Every shared bucket, centre, label and bag counts as heavy, blocks hold few members, and ids and rows repeat."""
+    monkeypatch.setattr(shared, "SPREAD", 1)
+    monkeypatch.setattr(shared, "MOST_HEAVY", 10**9)
+    monkeypatch.setattr(bag_minhash, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(bag_minhash, "BLOCK_BYTES", 8000)
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        w = prose(rng, 90).replace("\n", " ").split(" ")
+        for k in range(14):  # copies of the first at a distance that grows
+            v = list(w)
+            for j in range(k * 3 // 4):
+                v[(j * 13 + k) % len(v)] = f"new{g}x{k}x{j}"
+            rows.append((g * 100 + k, " ".join(v)))
+    rows += [(50, rows[0][1]), (51, rows[0][1]), (52, rows[5][1]), (3, rows[3][1])]
+    got = bag_minhash.near_duplicates(spark.createDataFrame([*rows, (None, rows[0][1]), (None, None), (60, None)], "doc_id bigint, text string")).collect()
+    want = brute_classes(rows)
+    assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == sorted([(d, want[d]) for d, _ in rows] + [(60, 60)])
+    assert [r.class_id for r in got if r.doc_id is None] == [None, None]
+
+
+def test_two_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(12)
+    a, b, other = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " end"), (8, b + " end"), (9, other)]
+    got = {(r.doc_id, r.class_id) for r in bag_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
 @pytest.mark.parametrize("a,b", [([1] * 10, [1] * 8 + [0] * 2), ([5, 1, 3], [3, 1, 7]), ([100, 2], [60, 9])])
 def test_signatures_are_unbiased(a, b):
     rng, trials = np.random.default_rng(9), 150
