@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .slabs import mix, prefix_hash, range_hash, ranges, slabs
+from .slabs import mix, prefix_hash, range_hash, ranges, slabs, trim
 
 WINDOW = 50
 GRAM = 20
 #: Text bytes of a block of documents, and of the parts in which a block is read.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 19
 #: Anchors that a bucket holds on average.
 BUCKET_KEYS = 2_000_000
 HOT_BLOCKS = 64
@@ -413,6 +413,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         """For each block: runs in each of its segments, and first position and smallest holder of each run."""
         if table.column("shard")[0].as_py() < 0:  # places pass through
             return table.select(answer_schema.names).cast(answer_schema)
+        trim()  # of the shard before
         block, base, n = (table.column(c).to_numpy() for c in ("block", "base", "n"))
         strings, least = [], []
         for count, packed in zip(n.tolist(), table.column("payload").to_pylist(), strict=True):
@@ -444,13 +445,14 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
     answers = asked.groupBy("shard").applyInArrow(answers_of_shard, "block int, base int, n int, payload binary")
 
     def cut_block(table: pa.Table, answered: pa.Table) -> pa.Table:
+        trim()
         table = _canonical(table)
         texts_in = table.column("text").to_pylist()
         raw = [(t or "").encode() for t in texts_in]
         size = np.array([len(x) for x in raw], np.int64)
         offsets = np.concatenate([[0], np.cumsum(size)])
         ids = _ids(table.column("doc_id").combine_chunks())
-        gone = np.zeros(int(offsets[-1]) + 1, np.int64)
+        gone = np.zeros(int(offsets[-1]) + 1, np.int32)
         answered = answered.sort_by("base") if answered.num_rows else answered
         if answered.num_rows:  # the first row has the places
             payloads = [_swell(x) for x in answered.column("payload").to_pylist()]
