@@ -87,55 +87,85 @@ def _least(h: np.ndarray, tie: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(low[: width - span], low[span - width :]) if width < span else low
 
 
+class Marks:
+    """Marked rows as bits, with the number of marks before each word of them."""
+
+    def __init__(self, rows: np.ndarray, n: int):
+        marked = np.zeros((n >> 6) + 1 << 6, bool)
+        marked[rows] = True
+        self.word = np.packbits(marked, bitorder="little").view("<u8")
+        self.before = np.zeros(len(self.word), np.int32 if n < 1 << 31 else np.int64)
+        np.cumsum(np.bitwise_count(self.word[:-1]), out=self.before[1:])
+
+    @property
+    def nbytes(self) -> int:
+        return self.word.nbytes + self.before.nbytes
+
+    def last(self, row: np.ndarray) -> np.ndarray:
+        """Number of the last mark at or before each row, from 0 (-1: none)."""
+        at = row >> 6
+        upto = np.uint64((1 << 64) - 1) >> (63 - (row & 63)).astype(np.uint64)
+        return self.before[at] + np.bitwise_count(self.word[at] & upto) - 1
+
+
 class RunIndex:
     """Run-compressed BWT of byte strings with samples at run ends; the suffix array exists only while it is built.
 
     A row stands for a suffix. Suffixes end with their string; equal ones are ordered by string, as if each
     had an end mark of its own. `ids` are the strings' holders. What is kept for each run of equal preceding
-    characters (0: the suffix is a whole string): its first row, that row's LF, and the samples at its ends: how
-    much the LF of its first row shares with the row above, and that of its last row with the row below; inside
+    characters (0: the suffix is a whole string): its first and last row, the first row's LF, and the samples at its ends:
+    how much the LF of its first row shares with the row above, and that of its last row with the row below; inside
     a run both lengths grow by one from a row to its LF. Besides, the first row and the smallest holder of each
     set of two rows or more that share `window` bytes, of which there are as many as different strings of
-    `window` bytes that occur again, however often they do.
+    `window` bytes that occur again, however often they do. First rows are found by their bits (Marks).
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, window: int = WINDOW):
         n = len(data)
+        small = np.int32 if n < 1 << 31 else np.int64
         self.n, self.window, self.size = n, window, np.diff(offsets)
-        room = np.repeat(offsets[1:], self.size) - np.arange(n)  # bytes up to the end of the string
-        char = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
-        key = np.zeros(n, np.uint64)
-        for k in range(5):
-            key = key << np.uint64(8) | np.where(room > k, char[k : k + n], np.uint64(0))
+        full = self.size > 0
+        room = (np.repeat(offsets[1:], self.size) - np.arange(n)).astype(small)  # bytes up to the end of the string
+        char = np.concatenate([data + np.uint8(1), np.zeros(8, np.uint8)])  # UTF-8 has no byte 255
+        word = np.ndarray(n, ">u8", char.data, strides=(1,)).astype(np.uint64)  # eight characters from each position
+        key = word >> np.uint64(24)
+        short = np.flatnonzero(room < 5)
+        beyond = np.uint64(8) * (np.uint64(5) - room[short].astype(np.uint64))
+        key[short] = key[short] >> beyond << beyond
         bits = (n + 2).bit_length()
         rank, order = _rank(key, 40, bits)
         step, longest = 5, int(self.size.max(initial=0))
-        ranks = [(step, rank.astype(np.int32))]  # equal ranks share that many bytes, or end together
+        ranks = [(step, rank)]  # equal ranks share that many bytes, or end together
         while step < longest:
-            ahead = np.zeros(n, np.uint64)
-            ahead[:-step] = np.where(room[:-step] > step, rank[step:] + 1, 0)
-            rank, order = _rank(rank.astype(np.uint64) << np.uint64(bits) | ahead, 2 * bits, bits)
+            key = rank.astype(np.uint64) << np.uint64(bits)
+            key[:-step] |= np.where(room[:-step] > step, rank[step:] + 1, 0).astype(np.uint64)
+            rank, order = _rank(key, 2 * bits, bits)
             step *= 2
-            ranks.append((step, rank.astype(np.int32)))
+            ranks.append((step, rank))
+        del key
 
         def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             """Bytes that the suffixes at a and b share."""
             most = np.minimum(room[a], room[b])
-            out = np.zeros(len(a), np.int64)
-            for depth, level in reversed(ranks):
-                on = np.flatnonzero(out < most)
-                same = level[a[on] + out[on]] == level[b[on] + out[on]]
-                out[on[same]] = np.minimum(out[on[same]] + depth, most[on[same]])
-            for _ in range(4):
-                on = np.flatnonzero(out < most)
-                same = data[a[on] + out[on]] == data[b[on] + out[on]]
-                out[on[same]] += 1
+            out = np.zeros(len(a), small)
+            for depth, level in reversed(ranks[1:]):
+                same = level[np.minimum(a + out, n - 1)] == level[np.minimum(b + out, n - 1)]
+                out = np.minimum(out + depth * same.astype(small), most)
+            on = np.flatnonzero(out < most)
+            while len(on):  # eight at once; about ten are left at most
+                other = word[a[on] + out[on]] ^ word[b[on] + out[on]]
+                same = np.zeros(len(on), small)
+                for k in range(0, 64, 8):
+                    same += other >> np.uint64(k) == 0
+                out[on] = np.minimum(out[on] + same, most[on])
+                on = on[(same == 8) & (out[on] < most[on])]
             return out
 
         # classes: neighbours that share `window` bytes, told by the two ranks that cover these
         depth, level = max((x for x in ranks if x[0] <= window), default=(0, None), key=lambda x: x[0])
         above, below = order[:-1], order[1:]
-        alike = np.flatnonzero((room[above] >= window) & (room[below] >= window))
+        enough = (room >= window)[order]
+        alike = np.flatnonzero(enough[:-1] & enough[1:])
         reach = 0
         while depth and reach < window:
             reach = min(reach, window - depth)
@@ -146,83 +176,92 @@ class RunIndex:
         head = np.ones(n, bool)
         head[alike + 1] = False
         begin = np.flatnonzero(head)
-        least = np.minimum.reduceat(np.repeat(ids, self.size)[order], begin) if n else ids[:0]
-        several = np.diff(np.append(begin, n)) > 1
-        self.match, self.least = begin[several], least[several]
-
-        whole = room[order] == np.repeat(self.size, self.size)[order]
-        before = np.where(whole, 0, char[np.maximum(order, 1) - 1].astype(np.int64))
+        count = np.diff(np.append(begin, n))
+        begin, count = begin[count > 1], count[count > 1]
+        holder = ids[np.repeat(np.arange(len(ids), dtype=small), self.size)[order[ranges(begin, count)]]]
+        self.least = np.minimum.reduceat(holder, np.cumsum(count) - count) if len(begin) else ids[:0]
+        self.matches = Marks(begin, n)
+
+        before = char[order - 1]
+        whole = np.zeros(n, bool)
+        whole[offsets[:-1][full]] = True
+        before[whole[order]] = 0
         fresh = np.ones(n, bool)
         fresh[1:] = before[1:] != before[:-1]
-        self.run = np.flatnonzero(fresh)
-        self.end = np.append(self.run[1:], n) - 1
-        self.char = before[self.run].astype(np.int16)
+        run = np.flatnonzero(fresh)
+        end = np.append(run[1:], n)[: len(run)] - 1
+        self.char = before[run]
+        self.heads = Marks(run, n)
 
         # rows that start with c: first the suffixes of one character, by string, then the others by the row they precede
-        first = char[:n].astype(np.int64)
-        count = np.bincount(first, minlength=258)
-        last = first[offsets[1:][self.size > 0] - 1]
+        count = np.bincount(char[:n], minlength=258)
+        last = char[offsets[1:][full] - 1].astype(np.int64)
         start, alone = np.cumsum(count) - count, np.bincount(last, minlength=258)
         nth = np.zeros(len(last), np.int64)
         by = np.argsort(last, kind="stable")
         nth[by] = ranges(np.zeros(258, np.int64), alone)
         self.entry = np.zeros((3, len(self.size)), np.int64)  # of each string's last character: row, shared above and below
-        self.entry[:, self.size > 0] = start[last] + nth, nth > 0, nth + 1 < count[last]
+        self.entry[:, full] = start[last] + nth, nth > 0, nth + 1 < count[last]
         by = np.argsort(self.char, kind="stable")
-        length, c = (self.end - self.run + 1)[by], self.char[by].astype(np.int64)
+        length, c = (end - run + 1)[by], self.char[by].astype(np.int64)
         done = np.cumsum(length) - length
         base = np.zeros(258, np.int64)
         heads = np.flatnonzero(np.diff(c, prepend=-1))
         base[c[heads]] = done[heads]
-        self.lf = np.zeros(len(self.run), np.int64)
-        self.lf[by] = (start + alone)[c] + done - base[c]
-        self.up, self.down = np.zeros(len(self.run), np.int64), np.zeros(len(self.run), np.int64)
-        k = np.flatnonzero((self.char > 0) & (self.lf > 0))
-        self.up[k] = shared(order[self.lf[k] - 1], order[self.lf[k]])
+        lf = np.zeros(len(run), np.int64)
+        lf[by] = (start + alone)[c] + done - base[c]
+        up, down = np.zeros(len(run), small), np.zeros(len(run), small)
+        k = np.flatnonzero((self.char > 0) & (lf > 0))
+        up[k] = shared(order[lf[k] - 1], order[lf[k]])
         # the LFs of the runs of one character follow each other; below the last of them another character begins
-        self.down[by[:-1]] = np.where(c[1:] == c[:-1], self.up[by[1:]], 0)
-        for name in ("run", "end", "lf", "up", "down", "match"):
-            setattr(self, name, getattr(self, name).astype(np.int32 if n < 1 << 31 else np.int64))
+        down[by[:-1]] = np.where(c[1:] == c[:-1], up[by[1:]], 0)
+        self.runs = np.stack([x.astype(small) for x in (run, end, lf, up, down)], 1)
+
+    @property
+    def run(self) -> np.ndarray:
+        return self.runs[:, 0]
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, (np.ndarray, Marks)))
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each position of the strings, one after the other: bytes that it shares with another position at most,
         and the smallest holder of the `window` bytes from it, if these are shared (else _LAST_ID)."""
-        length, holder = np.zeros(self.n, np.int64), np.full(self.n, _LAST_ID)
+        length, holder = np.zeros(self.n, self.runs.dtype), np.full(self.n, _LAST_ID)
         offsets = np.cumsum(self.size)
         order = np.argsort(-self.size, kind="stable")
-        row, up, down = (x[order].astype(self.run.dtype) for x in self.entry)
+        row, up, down = (x[order].astype(self.runs.dtype) for x in self.entry)
         last = offsets[order] - 1
         sizes = -self.size[order]
         for k in range(int(self.size.max(initial=0))):
             live = int(np.searchsorted(sizes, -k, "left"))  # strings longer than k
             row, up, down = row[:live], up[:live], down[:live]
             at = last[:live] - k
-            length[at] = np.maximum(up, down)
-            some = np.flatnonzero(length[at] >= self.window)
-            holder[at[some]] = self.least[np.searchsorted(self.match, row[some], "right") - 1]
-            run = np.searchsorted(self.run, row, "right") - 1
-            first, end = row == self.run[run], row == self.end[run]
-            up, down = np.where(first, self.up[run], up + 1), np.where(end, self.down[run], down + 1)
-            row = self.lf[run] + (row - self.run[run])
+            length[at] = most = np.maximum(up, down)
+            some = np.flatnonzero(most >= self.window)
+            holder[at[some]] = self.least[self.matches.last(row[some])]
+            first, end, lf, above, below = self.runs.take(self.heads.last(row), 0).T
+            up, down = np.where(row == first, above, up + 1), np.where(row == end, below, down + 1)
+            row = lf + (row - first)
         return length, holder
 
 
 def _rank(key: np.ndarray, key_bits: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each key, and the positions by key and place. Where both fit in a word, words are sorted."""
     if key_bits + bits <= 64:
-        word = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
-        order, ordered = (word & np.uint64((1 << bits) - 1)).astype(np.int64), word >> np.uint64(bits)
+        key = key << np.uint64(bits)
+        key |= np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << bits) - 1)).view(np.int64)
+        key >>= np.uint64(bits)
     else:
         order = np.argsort(key, kind="stable")
-        ordered = key[order]
-    fresh = np.zeros(len(key), np.int64)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(fresh)
+        key = key[order]
+    fresh = np.zeros(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    rank = np.empty(len(key), np.int32 if len(key) < 1 << 31 else np.int64)
+    rank[order] = np.cumsum(fresh, dtype=rank.dtype)
     return rank, order
 
 
