@@ -18,7 +18,9 @@ id. All such strings are found, and none else:
 4. Blocks mark what is covered, judged on the input, and cut it out.
 
 What a shard gets from a group of copies is one segment from each block, whatever the group's size. The
-numbers of buckets, shards and partitions follow the input, so that tasks don't grow with it.
+numbers of buckets, shards and partitions follow the input, so that tasks don't grow with it. A block sends
+one row to a bundle of up to BUNDLE shards, whose indexes are built one after the other: rows between blocks and
+single shards would outgrow the texts, as both numbers follow the input.
 
 Defined results: null and empty texts have no bytes and lose none; rows with the same id don't count
 against each other; a null id counts as larger than all. Texts shorter than WINDOW bytes stay. Repeated
@@ -45,6 +47,8 @@ BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 19
 #: Anchors that a bucket holds on average.
 BUCKET_KEYS = 2_000_000
 HOT_BLOCKS = 64
+#: Shards of a bundle at most; and the blocks for each shard of it.
+BUNDLE, BUNDLE_BLOCKS = 16, 64
 _SIDE = (WINDOW - GRAM) // 2
 _LAST_ID = np.iinfo(np.int64).max
 
@@ -321,6 +325,8 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
     bits = max(6, int(total // 16 // BUCKET_KEYS).bit_length())
     shards = 2 * blocks
+    bundle = min(BUNDLE, max(1, blocks // BUNDLE_BLOCKS))
+    bundles = -(-shards // bundle)
     block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), F.lit(0)).cast("int")
     held = docs.select(block.alias("block"), "doc_id", "text", *(["row"] if cut else [])).repartition(partitions, "block")
 
@@ -350,26 +356,29 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
 
     def repeated_keys(table: pa.Table) -> pa.Table:
         cells = [np.frombuffer(c.as_py(), np.uint32) for c in table.column("keys")]
-        whole = np.sort(np.concatenate(cells))
-        twice = np.unique(whole[1:][whole[1:] == whole[:-1]])
-        left = np.searchsorted(whole, twice)
-        hot = np.searchsorted(whole, twice, "right") - left > HOT_BLOCKS
-        out = []
-        for c in cells:
-            own = np.unique(c)
-            at = np.minimum(np.searchsorted(twice, own), max(0, len(twice) - 1))
-            hit = twice[at] == own if len(twice) else np.zeros(len(own), bool)
-            out.append((own[hit].tobytes(), hot[at[hit]].astype(np.uint8).tobytes()))
+        each, listed = np.array([len(c) for c in cells]), np.concatenate(cells)
+        whole = np.sort(listed)
+        first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+        times = np.diff(np.append(first, len(whole)))
+        twice, hot = whole[first[times > 1]], times[times > 1] > HOT_BLOCKS
+        fresh = np.ones(len(listed), bool)  # cells are sorted
+        fresh[1:] = listed[1:] != listed[:-1]
+        fresh[np.cumsum(each) - each] = True
+        own, cell = listed[fresh], np.repeat(np.arange(len(cells)), each)[fresh]
+        at = np.minimum(np.searchsorted(twice, own), max(0, len(twice) - 1))
+        hit = twice[at] == own if len(twice) else np.zeros(len(own), bool)
+        own, is_hot = own[hit], hot[at[hit]].astype(np.uint8)
+        cuts = np.searchsorted(cell[hit], np.arange(len(cells) + 1)).tolist()
         bucket = table.column("bucket")[0].as_py()
-        return pa.table({"block": table.column("block").cast(pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "keys": pa.array([x for x, _ in out], pa.binary()), "hot": pa.array([y for _, y in out], pa.binary())})
+        return pa.table({"block": table.column("block").cast(pa.int32()), "bucket": pa.array([bucket] * len(cells), pa.int32()), "keys": pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), "hot": pa.array([is_hot[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     repeated = keys.groupBy("bucket").applyInArrow(repeated_keys, "block int, bucket int, keys binary, hot binary")
 
-    asked_schema = "shard int, block int, base int, n int, payload binary"
+    asked_schema = "bundle int, block int, base int, n int, payload binary"
 
     def segments_of_block(table: pa.Table, found: pa.Table) -> pa.Table:
-        """A row for each shard: ids, lengths and bytes of its segments; a last row with the places of all."""
-        empty = pa.table({"shard": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "base": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+        """A row for each bundle: ids, lengths, shards and bytes of its segments; a last row with the places of all."""
+        empty = pa.table({"bundle": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "base": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
         if not table.num_rows or not found.num_rows:
             return empty
         number = table.column("block")[0].as_py()
@@ -431,57 +440,73 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         place[order] = np.arange(len(order))
         shard, first, low_id = shard[order], first[order], low_id[order]
         size = np.array([len(strings[i]) for i in first], np.uint8)
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
-        rows = {"shard": [], "block": [], "base": [], "n": [], "payload": []}
+        to, within = shard // bundle, (shard % bundle).astype(np.uint8)
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
+        rows = {"bundle": [], "block": [], "base": [], "n": [], "payload": []}
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             text = np.frombuffer(b"".join(strings[i] for i in first[a:b]), np.uint8)
-            for name, x in zip(rows, (int(shard[a]), number, a, b - a, _squeeze(low_id[a:b], size[a:b], text)), strict=True):
+            for name, x in zip(rows, (int(to[a]), number, a, b - a, _squeeze(low_id[a:b], size[a:b], within[a:b], text)), strict=True):
                 rows[name].append(x)
         where = np.concatenate(places, 1)
         which = place[np.searchsorted(unique, where[0].view(np.uint64))]
         packed = _squeeze(which.astype(np.int32), *where[1:].astype(np.int32))
-        for name, x in zip(rows, (-1 - number % shards, number, -1, 0, packed), strict=True):
+        for name, x in zip(rows, (-1 - number, number, -1, 0, packed), strict=True):
             rows[name].append(x)
         return pa.table(rows, empty.schema)
 
-    asked = held.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(segments_of_block, asked_schema).repartition(max(partitions, shards // 2), "shard")
+    asked = held.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(segments_of_block, asked_schema).repartition(max(partitions, bundles), "bundle")
 
     answer_schema = pa.schema([("block", pa.int32()), ("base", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
 
-    def answers_of_shard(table: pa.Table) -> pa.Table:
+    def answers_of_bundle(table: pa.Table) -> pa.Table:
         """For each block: runs in each of its segments, and first position and smallest holder of each run."""
-        if table.column("shard")[0].as_py() < 0:  # places pass through
+        if table.column("bundle")[0].as_py() < 0:  # places pass through
             return table.select(answer_schema.names).cast(answer_schema)
-        trim()  # of the shard before
+        trim()  # of the bundle before
         block, base, n = (table.column(c).to_numpy() for c in ("block", "base", "n"))
-        strings, least = [], []
-        for count, packed in zip(n.tolist(), table.column("payload").to_pylist(), strict=True):
-            raw = _swell(packed)
+        least, size, within, texts = [], [], [], []
+        for count, packed in zip(n.tolist(), table.column("payload"), strict=True):
+            raw = _swell(packed.as_py())
             least.append(np.frombuffer(raw, np.int64, count))
-            ends = (9 * count + np.cumsum(np.frombuffer(raw, np.uint8, count, 8 * count), dtype=np.int64)).tolist()
-            strings += [raw[a:b] for a, b in zip([9 * count, *ends], ends, strict=False)]
-        number: dict[bytes, int] = {}
-        code = np.array([number.setdefault(x, len(number)) for x in strings], np.int64)
-        holders = np.full(len(number), _LAST_ID)
-        np.minimum.at(holders, code, np.concatenate(least))
-        size = np.array([len(x) for x in number], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        holder = smallest_holders(np.frombuffer(b"".join(number), np.uint8), offsets, holders)
-        of = np.repeat(np.arange(len(size)), size)
-        fresh = np.ones(len(holder), bool)
-        fresh[1:] = (holder[1:] != holder[:-1]) | (of[1:] != of[:-1])
-        at = np.flatnonzero(fresh)
-        n_runs = np.bincount(of[at], minlength=len(size))
-        first_run = np.cumsum(n_runs) - n_runs
+            size.append(np.frombuffer(raw, np.uint8, count, 8 * count))
+            within.append(np.frombuffer(raw, np.uint8, count, 9 * count))
+            texts.append(raw[10 * count :])
+        least, size, within, text = np.concatenate(least), np.concatenate(size), np.concatenate(within), b"".join(texts)
+        del texts
+        end = np.cumsum(size, dtype=np.int64)
+        code = np.empty(len(size), np.int64)
+        n_runs, begins, holders, known = [], [], [], 0
+        for which in np.split(np.argsort(within, kind="stable"), np.cumsum(np.bincount(within, minlength=bundle))[:-1]):
+            number: dict[bytes, int] = {}
+            for_each = zip((end - size)[which].tolist(), end[which].tolist(), strict=True)
+            own = np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in for_each), np.int64, len(which))
+            ids = np.full(len(number), _LAST_ID)
+            np.minimum.at(ids, own, least[which])
+            length = np.array([len(x) for x in number], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(length)])
+            data = np.frombuffer(b"".join(number), np.uint8)
+            code[which] = own + known
+            known += len(number)
+            del number
+            holder = smallest_holders(data, offsets, ids)
+            of = np.repeat(np.arange(len(length)), length)
+            fresh = np.ones(len(holder), bool)
+            fresh[1:] = (holder[1:] != holder[:-1]) | (of[1:] != of[:-1])
+            at = np.flatnonzero(fresh)
+            n_runs.append(np.bincount(of[at], minlength=len(length)).astype(np.uint8))
+            begins.append((at - offsets[of[at]]).astype(np.uint8))
+            holders.append(holder[at])
+        n_runs, begins, holders = np.concatenate(n_runs), np.concatenate(begins), np.concatenate(holders)
+        first_run = np.cumsum(n_runs, dtype=np.int64) - n_runs
         payloads, done = [], 0
         for count in n.tolist():
             c = code[done : done + count]
             done += count
-            take = at[ranges(first_run[c], n_runs[c])]
-            payloads.append(_squeeze(n_runs[c].astype(np.uint8), (take - offsets[of[take]]).astype(np.uint8), holder[take]))
+            take = ranges(first_run[c], n_runs[c])
+            payloads.append(_squeeze(n_runs[c], begins[take], holders[take]))
         return pa.table({"block": block, "base": base, "n": n, "payload": pa.array(payloads, pa.binary())}).cast(answer_schema)
 
-    answers = asked.groupBy("shard").applyInArrow(answers_of_shard, "block int, base int, n int, payload binary")
+    answers = asked.groupBy("bundle").applyInArrow(answers_of_bundle, "block int, base int, n int, payload binary")
 
     def cut_block(table: pa.Table, answered: pa.Table) -> pa.Table:
         trim()

@@ -202,6 +202,23 @@ def test_repeats(spark, docs, empty, monkeypatch, block_bytes, hot):
     assert cut.columns == [*docs.columns, "row", "kept"] and cut.count() == len(rows)
 
 
+def test_repeats_over_many_blocks(spark, monkeypatch):
+    """Rows between blocks and shards don't grow with the product of both numbers."""
+    monkeypatch.setattr(run_index, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(run_index, "BUNDLE_BLOCKS", 4, raising=False)
+    rng = random.Random(7)
+    passages = [prose(rng, 30) for _ in range(60)]
+    rows = [(i, rng.choice(passages)[rng.randrange(30) :][: rng.randrange(60, 160)] + prose(rng, 3)) for i in range(240)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    blocks = -(-sum(len(t.encode()) for _, t in rows) // 400)
+    sent, deal = [], type(table).repartition
+    monkeypatch.setattr(type(table), "repartition", lambda self, n, *c: sent.append((c, self)) or deal(self, n, *c))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run_index.mark_repeats(table).collect()}
+    assert got == brute_repeats(rows) and blocks > 64
+    (to_shards,) = [d for c, d in sent if c not in (("block",), ("bucket",))]
+    assert blocks * 3 < to_shards.count() <= blocks * (1 + -(-2 * blocks // 16))
+
+
 def test_repeats_in_periodic_text(spark, monkeypatch):
     monkeypatch.setattr(run_index, "BLOCK_BYTES", 400)
     monkeypatch.setattr(run_index, "HOT_BLOCKS", 2)
