@@ -19,7 +19,7 @@ id. All such strings are found, and none else:
 
 What a shard gets from a group of copies is one segment from each block, whatever the group's size. The
 numbers of buckets, shards and partitions follow the input, so that tasks don't grow with it. A block sends
-one row to a bundle of up to BUNDLE shards, whose indexes are built one after the other: rows between blocks and
+one row to a bundle of up to BUNDLE x MOST_TIMES shards, whose indexes are built one after the other: rows between blocks and
 single shards would outgrow the texts, as both numbers follow the input.
 
 Defined results: null and empty texts have no bytes and lose none; rows with the same id don't count
@@ -43,12 +43,12 @@ from .slabs import mix, prefix_hash, range_hash, ranges, slabs, trim
 WINDOW = 50
 GRAM = 20
 #: Text bytes of a block of documents, and of the parts in which a block is read.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 19
+BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 17
 #: Anchors that a bucket holds on average.
 BUCKET_KEYS = 2_000_000
 HOT_BLOCKS = 64
-#: Shards of a bundle at most; and the blocks for each shard of it.
-BUNDLE, BUNDLE_BLOCKS = 16, 64
+#: Shards for each block. Shards of a bundle at first; so many times as many, at most, one time for each BUNDLE_BLOCKS blocks.
+SHARDS, BUNDLE, MOST_TIMES, BUNDLE_BLOCKS = 8, 4, 16, 64
 _SIDE = (WINDOW - GRAM) // 2
 _LAST_ID = np.iinfo(np.int64).max
 
@@ -324,12 +324,13 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
     blocks = max(1, -(-total // BLOCK_BYTES))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
     bits = max(6, int(total // 16 // BUCKET_KEYS).bit_length())
-    shards = 2 * blocks
-    bundle = min(BUNDLE, max(1, blocks // BUNDLE_BLOCKS))
+    shards = SHARDS * blocks
+    bundle = BUNDLE * min(MOST_TIMES, max(1, blocks // BUNDLE_BLOCKS))
     bundles = -(-shards // bundle)
     block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), F.lit(0)).cast("int")
     held = docs.select(block.alias("block"), "doc_id", "text", *(["row"] if cut else [])).repartition(partitions, "block")
 
+    # of the mixed hash: an anchor's own is the least of many, and nearly all of these begin with zeros
     def split_key(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(64 - bits)).astype(np.int64), ((h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -338,7 +339,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         ids = _canonical(table)
         for part, data, offsets in _parts(ids):
             _, row, h, _, _ = anchors(data, offsets)
-            found.append(np.stack([h, _ids(part.column(part.schema.get_field_index("doc_id")))[row].view(np.uint64)]))
+            found.append(np.stack([mix(h), _ids(part.column(part.schema.get_field_index("doc_id")))[row].view(np.uint64)]))
         pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.uint64)
         pairs = pairs[:, np.lexsort(pairs[::-1])]
         fresh = np.ones(pairs.shape[1], bool)
@@ -358,13 +359,15 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         cells = [np.frombuffer(c.as_py(), np.uint32) for c in table.column("keys")]
         each, listed = np.array([len(c) for c in cells]), np.concatenate(cells)
         whole = np.sort(listed)
-        first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-        times = np.diff(np.append(first, len(whole)))
-        twice, hot = whole[first[times > 1]], times[times > 1] > HOT_BLOCKS
+        again = np.flatnonzero(whole[1:] == whole[:-1])
+        twice, times = np.unique(whole[again], return_counts=True)
+        hot = times >= HOT_BLOCKS  # one more than these
+        del whole, again
         fresh = np.ones(len(listed), bool)  # cells are sorted
         fresh[1:] = listed[1:] != listed[:-1]
         fresh[np.cumsum(each) - each] = True
-        own, cell = listed[fresh], np.repeat(np.arange(len(cells)), each)[fresh]
+        own, cell = listed[fresh], np.repeat(np.arange(len(cells), dtype=np.int32), each)[fresh]
+        del listed, fresh
         at = np.minimum(np.searchsorted(twice, own), max(0, len(twice) - 1))
         hit = twice[at] == own if len(twice) else np.zeros(len(own), bool)
         own, is_hot = own[hit], hot[at[hit]].astype(np.uint8)
@@ -394,7 +397,7 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
         for part, data, offsets in _parts(_canonical(table)):
             ids = _ids(part.column(part.schema.get_field_index("doc_id")))
             at, row, h, begin, end = anchors(data, offsets)
-            bucket, low = split_key(h)
+            bucket, low = split_key(mix(h))
             full = (bucket.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
             where = np.minimum(np.searchsorted(known, full), len(known) - 1)
             hit = known[where] == full
@@ -511,12 +514,13 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
     def cut_block(table: pa.Table, answered: pa.Table) -> pa.Table:
         trim()
         table = _canonical(table)
-        texts_in = table.column("text").to_pylist()
-        raw = [(t or "").encode() for t in texts_in]
+        raw = [(t.as_py() or "").encode() for t in table.column("text")]
         size = np.array([len(x) for x in raw], np.int64)
         offsets = np.concatenate([[0], np.cumsum(size)])
         ids = _ids(table.column("doc_id").combine_chunks())
         gone = np.zeros(int(offsets[-1]) + 1, np.int32)
+        heads = np.zeros(len(gone), bool)
+        heads[offsets] = True
         answered = answered.sort_by("base") if answered.num_rows else answered
         if answered.num_rows:  # the first row has the places
             payloads = [_swell(x) for x in answered.column("payload").to_pylist()]
@@ -542,19 +546,26 @@ def mark_repeats(docs: DataFrame, cut: bool = False) -> DataFrame:
             right = offsets[row[occ]] + start[occ] + further[occ] + until - 1 + WINDOW
             np.add.at(gone, left, 1)
             np.add.at(gone, np.minimum(right, offsets[row[occ] + 1]), -1)
-        removed = np.cumsum(gone)[:-1] > 0
-        before = np.zeros(len(removed), bool)
-        before[1:] = removed[:-1]
-        heads = offsets[:-1][size > 0]
-        fresh = removed & ~before
-        fresh[heads] = removed[heads]
-        sums, spans = np.concatenate([[0], np.cumsum(removed)]), np.concatenate([[0], np.cumsum(fresh)])
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        kept = [data[a:b][~removed[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        out = {"doc_id": table.column("doc_id"), "n_bytes": pa.array(size), "n_removed": pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), "n_spans": pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        np.cumsum(gone, out=gone)
+        removed = gone > 0
+        del gone
+        # spans: from where removed bytes begin, or a text does, to where they end
+        edge = np.flatnonzero(heads[1:] | (removed[1:] != removed[:-1])) + 1
+        edge = np.concatenate([[0], edge])
+        begin, end = edge[:-1][removed[edge[:-1]]], edge[1:][removed[edge[:-1]]]
+        of = np.searchsorted(offsets, begin, "right") - 1
+        n_removed, n_spans = np.zeros(len(size), np.int64), np.bincount(of, minlength=len(size))
+        np.add.at(n_removed, of, end - begin)
+        first = np.searchsorted(of, np.arange(len(size) + 1)).tolist()
+        spans = list(zip((begin - offsets[of]).tolist(), (end - offsets[of]).tolist(), strict=True))
+        kept = []
+        for text, a, b in zip(raw, first, first[1:], strict=False):
+            begins, ends = [0, *(e for _, e in spans[a:b])], [*(s for s, _ in spans[a:b]), len(text)]
+            kept.append(b"".join(text[x:y] for x, y in zip(begins, ends, strict=True)) if b > a else text)
+        out = {"doc_id": table.column("doc_id"), "n_bytes": pa.array(size), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
         if cut:
             out["row"] = table.column("row").cast(_nullable(table.column("row").type))
-            out["kept"] = pa.array([None if t is None else x.decode("utf-8", "ignore") for t, x in zip(texts_in, kept, strict=True)], pa.string())
+            out["kept"] = pa.array([x.decode("utf-8", "ignore") if there else None for there, x in zip(table.column("text").is_valid().to_pylist(), kept, strict=True)], pa.string())
         return pa.table(out)
 
     key = docs.schema["doc_id"].dataType.simpleString()

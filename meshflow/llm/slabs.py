@@ -25,6 +25,7 @@ def trim() -> None:
     """Gives freed memory back to the system, where the C library can: workers live on between tasks."""
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 #: Words of more bytes are hashed by BLAKE2.

@@ -219,6 +219,18 @@ def test_repeats_over_many_blocks(spark, monkeypatch):
     assert blocks * 3 < to_shards.count() <= blocks * (1 + -(-2 * blocks // 16))
 
 
+def test_repeats_deal_anchors_evenly(spark, monkeypatch):
+    """An anchor's hash is the least of many; still no bucket of anchors, whose task holds them all, gets many times its share."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 120)) for i in range(300)]
+    sent, deal = [], type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *c: sent.append((c, self)) or deal(self, n, *c))
+    run_index.mark_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    (keys,) = [d for c, d in sent if c == ("bucket",)]
+    size = [r.size for r in keys.groupBy("bucket").agg((F.sum(F.octet_length("keys")) / 4).alias("size")).collect()]
+    assert sum(size) > 5000 and max(size) < 2 * sum(size) / 64
+
+
 def test_repeats_in_periodic_text(spark, monkeypatch):
     monkeypatch.setattr(run_index, "BLOCK_BYTES", 400)
     monkeypatch.setattr(run_index, "HOT_BLOCKS", 2)
