@@ -13,7 +13,8 @@ before it are committed, and the window starts anew at that boundary. Every text
 
 For BPE, words (a run of word marks and what follows it), and these between two characters that stand side by
 side in no piece, are cut, as no piece can span there and all paths meet; words and parts of up to 64
-characters are remembered with their ids, which repeat the result of the same part.
+characters are remembered with their ids, which repeat the result of the same part. Words that don't come back
+are forgotten: a full memo becomes the older one, and only words that are met again move to the new one.
 
 Defined results: null and empty texts have no ids, and decode to an empty text. Characters that the
 vocabulary lacks become byte pieces, or for models without them a run of such characters becomes the unknown
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from math import inf
@@ -214,8 +216,9 @@ class PieceModel:
         self.viterbi = StreamingViterbi(self.encoder, scores)
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.known: dict[str, list[int]] = {}
-        self.known_parts: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as int32: a fifth of what lists take
+        self.older: dict[str, bytes] = {}  # words that were known before; the others of them are forgotten next
+        self.known_parts: dict[str, bytes] = {}
 
     def ids_of(self, piece: str) -> list[int]:
         i = self.id.get(piece)
@@ -223,21 +226,30 @@ class PieceModel:
             return [i]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
-    def of_part(self, part: str) -> list[int]:
+    def of_part(self, part: str) -> bytes:
         ids = self.known_parts.get(part)
         if ids is None:
-            ids = list(chain.from_iterable(map(self.ids_of, self.viterbi.pieces(part))))
-            _remember(self.known_parts, part, ids)
+            ids = array("i", chain.from_iterable(map(self.ids_of, self.viterbi.pieces(part)))).tobytes()
+            if len(part) <= 64:
+                if len(self.known_parts) > MEMO:
+                    self.known_parts.clear()
+                self.known_parts[part] = ids
         return ids
 
-    def of_word(self, word: str) -> list[int]:
-        ids, pairs, at = [], self.pairs, 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                ids += self.of_part(word[at:i])
-                at = i
-        ids += self.of_part(word[at:])
-        _remember(self.known, word, ids)
+    def of_word(self, word: str) -> bytes:
+        ids = self.known.get(word) or self.older.get(word)
+        if ids is None:
+            parts, pairs, at = [], self.pairs, 0
+            for i in range(1, len(word)):
+                if word[i - 1 : i + 1] not in pairs:
+                    parts.append(self.of_part(word[at:i]))
+                    at = i
+            parts.append(self.of_part(word[at:]))
+            ids = parts[0] if len(parts) == 1 else b"".join(parts)
+        if len(word) <= 64:
+            if len(self.known) > MEMO // 4:
+                self.older, self.known = self.known, {}
+            self.known[word] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -246,7 +258,7 @@ class PieceModel:
         marked = MARK + text.replace(" ", MARK)
         if self.kind == BPE:
             known, of_word = self.known.get, self.of_word
-            ids = list(chain.from_iterable([known(w) or of_word(w) for w in self.word.findall(marked)]))
+            ids = array("i", b"".join([known(w) or of_word(w) for w in self.word.findall(marked)])).tolist()
         else:  # sums of scores run through the whole text
             ids = list(chain.from_iterable(map(self.ids_of, self.viterbi.pieces(marked))))
         if not self.bytes and self.unknown in ids:  # a run of characters outside the vocabulary is one unknown piece
@@ -277,13 +289,6 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-def _remember(memo: dict[str, list[int]], text: str, ids: list[int]) -> None:
-    if len(text) <= 64:
-        if len(memo) > MEMO:
-            memo.clear()
-        memo[text] = ids
-
-
 _models: dict[str, PieceModel] = {}
 
 

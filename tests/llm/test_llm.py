@@ -570,6 +570,17 @@ def test_every_word_is_streamed(pieces, monkeypatch):
     assert "".join(seen) == "▁a▁word,▁and▁" + "longer" * 30 and seen[-1].endswith("longer" * 30)
 
 
+def test_memo_of_words_forgets(pieces, monkeypatch):
+    """Of words that come once no more than half a memo is held; what is forgotten is encoded again the same way."""
+    monkeypatch.setattr(piece_viterbi, "MEMO", 400)
+    mine = piece_viterbi.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    theirs = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for k in range(20):
+        text = " ".join(f"again{k % 3} and w{i * 7919 + k}x" for i in range(100))
+        assert mine.encode(text) == theirs.encode(text)
+        assert sum(len(x) for x in (mine.known, getattr(mine, "older", {}))) <= 202
+
+
 @pytest.mark.parametrize("kind", [1, 2])
 def test_window_is_bounded(tmp_path, kind):
     path = write_model(tmp_path / "m", kind, [(t, -i / 2) for i, t in enumerate(UNITS) if "▁" not in t[1:]])
