@@ -14,8 +14,9 @@ def _div(a: Column, n: int) -> Column:
 
 
 def coords(index: Column, dims: Sequence[int]) -> list[Column]:
-    """Coordinates of a row-major index."""
-    return [(_div(index, prod(dims[d + 1 :])) % F.lit(n)).cast("int") for d, n in enumerate(dims)]
+    """Coordinates of a row-major index; one beyond the grid goes on along the first axis."""
+    over = [_div(index, prod(dims[d + 1 :])) for d in range(len(dims))]
+    return [(c % F.lit(n) if d else c).cast("int") for d, (c, n) in enumerate(zip(over, dims, strict=True))]
 
 
 def rank_of(at: Sequence[Column], dims: Sequence[int], periodic: Sequence[bool] | None = None) -> Column:

@@ -37,8 +37,8 @@ def missing(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def block_index(chunks: DataFrame) -> DataFrame:
-    """Adds block_index: the place of a chunk by position, ties by rank."""
-    order = Window.partitionBy("array_name", "timestep").orderBy("chunk_position", "rank")
+    """Adds block_index: the place of a chunk by position, ties by rank; chunks without a position come last."""
+    order = Window.partitionBy("array_name", "timestep").orderBy(F.col("chunk_position").asc_nulls_last(), F.col("rank").asc_nulls_last())
     return chunks.withColumn("block_index", F.row_number().over(order) - 1)
 
 

@@ -20,6 +20,15 @@ def edges():
     return rows
 
 
+def odd():
+    """Users that are null or negative, and events without a time, a type or a value."""
+    rows = [(f"{DAY}{6 * t + 1:02}:00:00", u, a, t + 0.5 * (u or 9)) for a in ("click", "view", "signup") for t in range(3) for u in (None, -3, -2, -1, 0, 1, 2, 3)]
+    rows += [(f"{DAY}19:00:00", u, "click", 2.5 - (u or 7)) for u in (None, -1, 1, 2)] + [(f"{DAY}19:00:00", u, "view", 2.5 * u) for u in (-1, 0, 1, -2)]
+    rows += [(None, u, a, 1.25 + u) for a in ("click", "view") for u in range(4)]
+    rows += [(f"{DAY}13:00:00", u, None, 5.0) for u in (None, 1, 1, 1)] + [(f"{DAY}13:00:00", u, "purchase", None) for u in range(4)]
+    return rows + 2 * [(f"{DAY}01:30:00", None, "click", 3.5)]
+
+
 def folder(tmp_path_factory, rows):
     path = tmp_path_factory.mktemp("events")
     con = duckdb.connect()
@@ -34,6 +43,11 @@ def at_edges(tmp_path_factory):
     return folder(tmp_path_factory, edges())
 
 
+@pytest.fixture(scope="module")
+def with_odd_rows(tmp_path_factory):
+    return folder(tmp_path_factory, odd())
+
+
 def equal(spark, name, table):
     path, con = table
     assert tidy(registry.QUERIES[name](spark, path).toPandas()) == tidy(con.execute(registry.ORACLE_SQL[name]).df())
@@ -41,9 +55,20 @@ def equal(spark, name, table):
 
 EDGES = [
     "array_assemble",
+    "block_layout",
 ]
 
 
 @pytest.mark.parametrize("name", EDGES)
 def test_edges(spark, at_edges, name):
     equal(spark, name, at_edges)
+
+
+ODD = [
+    "block_layout",
+]
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_odd_rows(spark, with_odd_rows, name):
+    equal(spark, name, with_odd_rows)
