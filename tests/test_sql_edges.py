@@ -56,6 +56,7 @@ def equal(spark, name, table):
 EDGES = [
     "array_assemble",
     "block_layout",
+    "late_rejects",
 ]
 
 
