@@ -57,6 +57,7 @@ EDGES = [
     "array_assemble",
     "block_layout",
     "late_rejects",
+    "global_cells",
 ]
 
 
@@ -67,6 +68,7 @@ def test_edges(spark, at_edges, name):
 
 ODD = [
     "block_layout",
+    "global_cells",
 ]
 
 
