@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def frame(size: int, order: str = "timestep"):
-    """The last `size` rows of an array, fewer at its start."""
+    """The last `size` rows of an array, fewer at its start; rows without a place in the order come last."""
     if size < 1:
         raise ValueError("a window holds at least one array")
-    return Window.partitionBy("array_name").orderBy(order).rowsBetween(1 - size, 0)
+    return Window.partitionBy("array_name").orderBy(F.col(order).asc_nulls_last()).rowsBetween(1 - size, 0)
 
 
 def trailing(arrays: DataFrame, size: int = 1, order: str = "timestep", **aggregates: Column) -> DataFrame:

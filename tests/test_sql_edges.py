@@ -58,6 +58,7 @@ EDGES = [
     "block_layout",
     "late_rejects",
     "global_cells",
+    "temporal_diff",
 ]
 
 
@@ -69,6 +70,7 @@ def test_edges(spark, at_edges, name):
 ODD = [
     "block_layout",
     "global_cells",
+    "temporal_diff",
 ]
 
 
