@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshflow.model import ArraySpec, Window
 from meshflow.plans.registry import EV, _cte, query
-from meshflow.plans.tables import SIX_HOURS, arrays_of_events, chunks_of_events, read
+from meshflow.plans.tables import SIX_HOURS, arrays_of_events, chunks_of_events, read, timestep_of
 from meshflow.streaming.firing import SUBSCRIPTIONS, fire, with_state_store
 from meshflow.streaming.run import run_once, shared_folder
 from meshflow.streaming.session import Analysis, Session
@@ -19,13 +19,12 @@ from meshflow.streaming.session import Analysis, Session
 @query("""WITH ev AS (SELECT event_type AS array_name, (CAST(epoch(ts) AS BIGINT) - 1704067200) // 21600 AS timestep, user_id % 4 AS rank, value FROM events)
 SELECT array_name, timestep, count(*) AS n_cells, round(sum(value), 4) AS total FROM ev GROUP BY ALL HAVING count(DISTINCT rank) = 4""")
 def stream_assemble(spark, sf_dir):
-    """A streaming aggregation; a bit for each rank tells when a timestep is complete."""
+    """A streaming aggregation; a bit for each rank, from -3 to 3, tells when a timestep is complete."""
     events = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
-    since = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
-    cells = stream.select(F.col("event_type").alias("array_name"), F.floor(since / SIX_HOURS).cast("bigint").alias("timestep"), F.expr("shiftleft(1, cast(user_id % 4 as int))").alias("bit"), "value")
+    cells = stream.select(F.col("event_type").alias("array_name"), timestep_of("ts", SIX_HOURS).alias("timestep"), F.expr("shiftleft(1, cast(user_id % 4 as int) + 3)").alias("bit"), "value")
     per = cells.groupBy("array_name", "timestep").agg(F.count("*").alias("n_cells"), F.sum("value").alias("total"), F.bit_or("bit").alias("bits"))
-    return run_once(per.where("bits = 15").select("array_name", "timestep", "n_cells", F.round("total", 4).alias("total")), "complete")
+    return run_once(per.where("bit_count(bits) = 4").select("array_name", "timestep", "n_cells", F.round("total", 4).alias("total")), "complete")
 
 
 def _arrivals(spark, sf_dir, names) -> DataFrame:

@@ -59,6 +59,7 @@ EDGES = [
     "late_rejects",
     "global_cells",
     "temporal_diff",
+    "stream_assemble",
 ]
 
 
@@ -71,6 +72,7 @@ ODD = [
     "block_layout",
     "global_cells",
     "temporal_diff",
+    "stream_assemble",
 ]
 
 
