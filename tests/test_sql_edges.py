@@ -60,6 +60,7 @@ EDGES = [
     "global_cells",
     "temporal_diff",
     "stream_assemble",
+    "window_size1",
 ]
 
 
