@@ -61,6 +61,7 @@ EDGES = [
     "temporal_diff",
     "stream_assemble",
     "window_size1",
+    "duplicate_timesteps",
 ]
 
 
