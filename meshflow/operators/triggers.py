@@ -26,17 +26,17 @@ def fire_or(arrivals: DataFrame, names: Sequence[str], value: str = "total", ord
     """Each arrival of any of the arrays with the latest value of all (null before an array's first).
 
     order starts with an integer column. Ranges of `span` of its numbers are handled on their own, and the last
-    values of each range, one row a range, are carried into the later ones.
+    values of each range, one row a range, are carried into the later ones. Rows without that number are the last range.
     """
     of = arrivals.where(F.col("array_name").isin(*names)).withColumn("ord", F.array_position(F.array(*map(F.lit, names)), F.col("array_name")).cast("int"))
     of = of.withColumn("_range", F.call_function("div", F.col(order[0]) - F.pmod(F.col(order[0]), F.lit(span)), F.lit(span)))
     own = {n: F.when(F.col("array_name") == n, F.struct(F.col(value).alias("v"))) for n in names}
     last = of.groupBy("_range").agg(*(F.max_by(own[n], F.when(F.col("array_name") == n, F.struct(*order))).alias(f"_{n}") for n in names))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("_range", *(F.last_value(f"_{n}", True).over(earlier).alias(f"_{n}") for n in names))
-    so_far = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    latest = of.withColumns({f"_own_{n}": F.last_value(own[n], True).over(so_far) for n in names}).join(carried, "_range")
-    return latest.withColumns({f"{n}_{value}": F.coalesce(f"_own_{n}", f"_{n}")["v"] for n in names}).drop("_range", *(f"_own_{n}" for n in names), *(f"_{n}" for n in names))
+    earlier = Window.orderBy(F.col("_range").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.col("_range").alias("_of"), *(F.last_value(f"_{n}", True).over(earlier).alias(f"_{n}") for n in names))
+    so_far = Window.partitionBy("_range").orderBy(*(F.col(c).asc_nulls_last() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    latest = of.withColumns({f"_own_{n}": F.last_value(own[n], True).over(so_far) for n in names}).join(carried, F.col("_range").eqNullSafe(F.col("_of")))
+    return latest.withColumns({f"{n}_{value}": F.coalesce(f"_own_{n}", f"_{n}")["v"] for n in names}).drop("_range", "_of", *(f"_own_{n}" for n in names), *(f"_{n}" for n in names))
 
 
 def late(arrivals: DataFrame, order: str = "seq") -> DataFrame:

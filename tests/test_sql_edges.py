@@ -62,6 +62,7 @@ EDGES = [
     "stream_assemble",
     "window_size1",
     "duplicate_timesteps",
+    "trigger_or2",
 ]
 
 
@@ -75,6 +76,7 @@ ODD = [
     "global_cells",
     "temporal_diff",
     "stream_assemble",
+    "trigger_or2",
 ]
 
 
