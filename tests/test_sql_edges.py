@@ -63,6 +63,7 @@ EDGES = [
     "window_size1",
     "duplicate_timesteps",
     "trigger_or2",
+    "missing_chunks",
 ]
 
 
