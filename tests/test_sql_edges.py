@@ -64,6 +64,7 @@ EDGES = [
     "duplicate_timesteps",
     "trigger_or2",
     "missing_chunks",
+    "tile_errors",
 ]
 
 
