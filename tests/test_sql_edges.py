@@ -65,6 +65,7 @@ EDGES = [
     "trigger_or2",
     "missing_chunks",
     "tile_errors",
+    "incomplete_timesteps",
 ]
 
 
