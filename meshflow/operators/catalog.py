@@ -25,5 +25,6 @@ def single_owner(catalog: DataFrame) -> DataFrame:
 
 
 def participants_only(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Chunks whose rank has declared their array."""
-    return chunks.join(catalog.select("array_name", "rank").distinct(), ["array_name", "rank"], "left_semi")
+    """Chunks whose rank has declared their array; a null equals a null."""
+    declared = catalog.select(F.col("array_name").alias("_name"), F.col("rank").alias("_rank")).distinct()
+    return chunks.join(declared, F.col("array_name").eqNullSafe(F.col("_name")) & F.col("rank").eqNullSafe(F.col("_rank")), "left_semi")

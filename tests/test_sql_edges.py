@@ -66,6 +66,7 @@ EDGES = [
     "missing_chunks",
     "tile_errors",
     "incomplete_timesteps",
+    "participants_only",
 ]
 
 
@@ -80,6 +81,7 @@ ODD = [
     "temporal_diff",
     "stream_assemble",
     "trigger_or2",
+    "participants_only",
 ]
 
 
