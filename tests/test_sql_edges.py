@@ -67,6 +67,7 @@ EDGES = [
     "tile_errors",
     "incomplete_timesteps",
     "participants_only",
+    "catalog_merge",
 ]
 
 
